@@ -19,12 +19,58 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def spans_sql(kinds: list[tuple[str, str, str]], base: list[str]) -> str:
+    """Spans of regexes (name, RE2 pattern, condition on the match m): the pieces between matches give the positions."""
+    parts = []
+    for rank, (name, pattern, condition) in enumerate(kinds):
+        p = pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {rank} AS r, '{name}' AS kind, s, e FROM (
+  SELECT doc_id, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s, s + length(ms[i]) AS e
+  FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gs FROM documents))) WHERE {condition}""")
+    union = "\nUNION ALL\n".join(parts)
+    names = ", ".join(f"'{b}'" for b in base)
+    counts = ", ".join(f"CAST(coalesce(n_{b}, 0) AS BIGINT) AS n_{b}" for b in base)
+    sums = ", ".join(f"count(*) FILTER (kind = '{b}') AS n_{b}" for b in base)
+    return f"""
+WITH s AS ({union}),
+a AS (SELECT doc_id, {sums}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (kind IN ({names})) AS base,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {counts}, sha256(coalesce(a.base, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM documents d LEFT JOIN a USING (doc_id)
+"""
+
+
+_ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?"""
+OP2 = spans_sql(
+    [
+        ("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", "length(regexp_extract(m, '^" + _ASSIGN.replace("'", "''") + "([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+        ("hex", "[0-9a-f]+", "length(m) >= 24"),
+        ("private_key", r"-----BEGIN\x20(?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED)\x20)?PRIVATE\x20KEY-----+", "true"),
+        ("forge_token", "gh[pousr]_[A-Za-z0-9]+", "length(m) >= 40"),
+        ("chat_token", "xox[abeprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+        ("live_key", "[rs]k_live_[A-Za-z0-9]+", "length(m) >= 24"),
+        ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(regexp_extract(m, '[A-Za-z0-9_-]+$', 0)) >= 10"),
+    ],
+    ["assign", "access", "hex"],
+)
+
+
 def _shard(count: int) -> str:
     """arg_max over the shards of -1 / ln(u), u from 52 bits of md5(doc_id|shard)."""
     return f"""(SELECT arg_max(s, -1.0 / ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0))
       FROM range({count}) AS r(s))"""
 
 
+OP10 = f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, text, {_shard(24)} AS a, {_shard(25)} AS b FROM documents)
+SELECT doc_id, size, CRC AS text_crc32, 'key' AS law, CAST(a AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY a ORDER BY doc_id) - 1 AS slot, CAST(b AS INTEGER) AS grown_shard FROM d
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_secrets": OP2,
     "op5_decontamination": OP5,
 }

@@ -7,31 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import oracles, rendezvous, simhash_golay, suffix_decontam
+from quillsieve.llm import language_bayes, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, simhash_golay, suffix_decontam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_automaton.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = [r.name for r in secret_automaton.BASE_RULES]
+    return found.select(
+        "doc_id",
+        *[secret_automaton.kind_count("spans", k).alias(f"n_{k}") for k in base],
+        F.sha2(secret_automaton.span_text("spans", base), 256).alias("base_sha256"),
+        secret_automaton.span_text("spans").alias("spans"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.drop("longest", "longest_at")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_bayes.fit(documents.filter(~language_bayes.held_out("doc_id")))
+    found = language_bayes.identify(documents, model, keep=["doc_id"])
+    return found.select("doc_id", language_bayes.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    network = quality_cnn.train(documents, table(spark, sf_dir, "labels"))
+    found = quality_cnn.score_quality(documents, network, keep=["doc_id"])
+    return found.select("doc_id", (quality_cnn.split_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_golay.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_weak.find_pii(table(spark, sf_dir, "documents"))
+    base = found.withColumn("__base", F.filter("spans", lambda s: s["base"]))
+    return base.select(
+        "doc_id",
+        *[secret_automaton.kind_count("__base", k).alias(f"n_{k}") for k in pii_weak.BASE],
+        F.sha2(secret_automaton.span_text("__base"), 256).alias("base_sha256"),
+        secret_automaton.span_text("spans").alias("spans"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = rendezvous.shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op5_decontamination": op5_decontamination,
+    "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
 }
 ORACLES = oracles.ORACLES
