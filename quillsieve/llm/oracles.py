@@ -57,6 +57,18 @@ OP2 = spans_sql(
 )
 
 
+OP3 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
+"""
+
+
 def _shard(count: int) -> str:
     """arg_max over the shards of -1 / ln(u), u from 52 bits of md5(doc_id|shard)."""
     return f"""(SELECT arg_max(s, -1.0 / ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0))
@@ -72,5 +84,6 @@ SELECT doc_id, size, CRC AS text_crc32, 'key' AS law, CAST(a AS INTEGER) AS shar
 
 ORACLES: dict[str, str] = {
     "op2_secrets": OP2,
+    "op3_embeddings": OP3,
     "op5_decontamination": OP5,
 }

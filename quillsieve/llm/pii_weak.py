@@ -99,7 +99,7 @@ def votes(kind: str, m: Column, before: Column) -> Column:
     """Votes (1: personal data, -1: not, 0: none) of the labelers on a match and the text before it."""
     digits = _digits(m)
     if kind == "email":
-        form, known = m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"), F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS)
+        form, known = m.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}$"), F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS)
     elif kind == "ip":
         form, known = octets(m), ~m.rlike(r"^(?:0|127|255)\.|\.0+\.0+\.0+$")
     elif kind == "card":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import language_bayes, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, simhash_golay, suffix_decontam
+from quillsieve.llm import itq_dedup, language_bayes, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, simhash_golay, suffix_decontam
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.drop("longest", "longest_at")
@@ -67,6 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
+    "op3_embeddings": op3_embeddings,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_quality": op7_quality,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm.common import blocks, extend, field, materialize, text_bytes, with_columns
 from quillsieve.llm.components import connected_components
+from quillsieve.llm.tiles import deal, forest, runs
 
 SHINGLE, SEED, BITS_APART = 3, 42, 3
 #: (first bit, bits) of the three segments of a fingerprint, each padded to the code's 23 bits.
@@ -140,66 +141,22 @@ def golay_keys(prints: DataFrame) -> DataFrame:
     return prints.select("simhash").mapInArrow(run, "key long, side byte, simhash long")
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, least node) with the same components as the given pairs."""
-    nodes, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inverse[: len(u)], inverse[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = label.copy()
-        np.minimum.at(least, a, label[b])
-        np.minimum.at(least, b, label[a])
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            break
-        label = least
-    move = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[move], nodes[label[move]]
-
-
 def _close(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= BITS_APART) & (u != v)
 
 
-def link_forest(keys: DataFrame) -> DataFrame:
+def linkforest(keys: DataFrame) -> DataFrame:
     """Links (u, v) that join what the verified pairs join: a spanning star of each batch of buckets.
 
-    Buckets with more than ``TILE`` rows of a side are cut into tiles of left and right parts, each
-    a key of its own; every left part meets every right part, so no pair is lost and no task gets a
-    whole bucket.
+    Large buckets are cut into tiles, so no task gets a whole one.
     """
-    counts = keys.groupBy("key").agg(F.count(F.when(F.col("side") == 0, 1)).alias("left"), F.count(F.when(F.col("side") == 1, 1)).alias("right"))
-    wide = counts.filter((F.col("left") > TILE) | (F.col("right") > TILE)).withColumns({"left_parts": F.ceil(F.col("left") / TILE).cast("int"), "right_parts": F.ceil(F.col("right") / TILE).cast("int")}).select("key", "left_parts", "right_parts")
-    hashed = F.xxhash64("simhash")
-    dealt = (
-        keys.join(wide, "key", "left")
-        .withColumn("own", F.when(F.col("left_parts").isNull(), F.lit(0)).otherwise(F.pmod(hashed, F.when(F.col("side") == 0, F.col("left_parts")).otherwise(F.col("right_parts")))).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.when(F.col("side") == 0, F.col("right_parts")).otherwise(F.col("left_parts")), F.lit(1)) - 1)))
-        .select("key", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "simhash")
-    )
-
     def run(batches):
-        held = None
-        for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            key, i, j = now[:3]
-            last = len(key) - 1
-            tail = np.flatnonzero((key != key[last]) | (i != i[last]) | (j != j[last]))
-            cut = int(tail[-1]) + 1 if len(tail) else 0
-            held = [x[cut:] for x in now]
-            if cut:
-                yield from within([x[:cut] for x in now])
-        if held is not None:
-            yield from within(held)
-
-    def within(rows):
-        key, i, j, side, x = rows
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        head = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
+        for table, head in runs(batches, 3):
+            yield from within(table, head)
+
+    def within(table, head):
+        side, x = table.column("side").to_numpy(), table.column("simhash").to_numpy()
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(x))))
         n_left = np.bincount(group, side == 0, len(head)).astype(np.int64)
         n_right = np.bincount(group, side == 1, len(head)).astype(np.int64)
         both = np.flatnonzero(n_left * n_right > 0)
@@ -222,15 +179,15 @@ def link_forest(keys: DataFrame) -> DataFrame:
             u, v = x[a], x[b]
             near = _close(u, v)
             if near.any():
-                u, v = _forest(u[near], v[near])
+                u, v = forest(u[near], v[near])
                 us.append(u)
                 vs.append(v)
                 held += len(u)
         if held:
-            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            u, v = forest(np.concatenate(us), np.concatenate(vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    dealt = deal(keys, ["key"], "simhash", TILE).select("key", "i", "j", "side", "simhash")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -245,7 +202,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = materialize(fingerprints(df, text_col, [id_col]), "simhash")
     classes = materialize(prints.groupBy("simhash").agg(F.min(id_col).alias("least")), "classes")
     keys = materialize(golay_keys(classes), "golay")
-    nodes = connected_components(link_forest(keys))
+    nodes = connected_components(linkforest(keys))
     linked = classes.join(nodes, classes["simhash"] == nodes["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "component").select(F.col("simhash").alias("__simhash"), "component_id")
