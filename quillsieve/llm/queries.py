@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import itq_dedup, language_bayes, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, simhash_golay, suffix_decontam
+from quillsieve.llm import itq_dedup, language_bayes, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, sentencepiece_topk, simhash_golay, suffix_decontam
+
+
+#: Path of the SentencePiece model, read on the driver.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    pieces = sentencepiece_topk.load_pieces(model_file)
+    return sentencepiece_topk.sample_encodings(table(spark, sf_dir, "documents"), pieces, k=2, keep=["doc_id"])
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_automaton.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = [r.name for r in secret_automaton.BASE_RULES]
@@ -70,6 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
     "op3_embeddings": op3_embeddings,
     "op5_decontamination": op5_decontamination,
