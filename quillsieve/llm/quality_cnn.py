@@ -81,16 +81,16 @@ def _slices(bounds: np.ndarray, limit: int = 1 << 19):
 
 
 def _padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows laid out in whole cells of zero-padded bytes; the last cell's windows end in the padding.
+    """Rows laid out in whole cells of zero-padded bytes, each after WIDTH - 1 zeros.
 
-    A window at a row's end sees up to WIDTH - 1 bytes of what follows; so a row gets at least that
-    many zero bytes after its text.
+    So the windows at a row's end see zeros and never the next row, and a row's responses do not
+    depend on its neighbours.
     """
     size = np.diff(bounds)
     count = (size + WIDTH - 1 + CELL - 1) // CELL
     start = (np.cumsum(count) - count) * CELL
     buffer = np.zeros(int(count.sum()) * CELL + WIDTH - 1, np.uint8)
-    buffer[np.arange(len(data)) + np.repeat(start - bounds[:-1], size)] = data
+    buffer[np.arange(len(data)) + np.repeat(start + WIDTH - 1 - bounds[:-1], size)] = data
     return buffer, start, count
 
 
