@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import itq_dedup, language_bayes, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, sentencepiece_topk, simhash_golay, suffix_decontam
+from quillsieve.llm import itq_dedup, language_bayes, license_tfidf, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, sentencepiece_topk, simhash_golay, suffix_decontam
 
 
 #: Path of the SentencePiece model, read on the driver.
@@ -38,6 +38,14 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a row lies at source/thousand/id, each eighth one as a file named LICENSE."""
+    documents = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 8 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"), name)
+    return license_tfidf.scan_licenses(documents.select("doc_id", "text", path.alias("path")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.drop("longest", "longest_at")
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secrets": op2_secrets,
     "op3_embeddings": op3_embeddings,
+    "op4_licenses": op4_licenses,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_quality": op7_quality,

@@ -145,7 +145,7 @@ def _close(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= BITS_APART) & (u != v)
 
 
-def linkforest(keys: DataFrame) -> DataFrame:
+def link_forest(keys: DataFrame) -> DataFrame:
     """Links (u, v) that join what the verified pairs join: a spanning star of each batch of buckets.
 
     Large buckets are cut into tiles, so no task gets a whole one.
@@ -202,7 +202,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = materialize(fingerprints(df, text_col, [id_col]), "simhash")
     classes = materialize(prints.groupBy("simhash").agg(F.min(id_col).alias("least")), "classes")
     keys = materialize(golay_keys(classes), "golay")
-    nodes = connected_components(linkforest(keys))
+    nodes = connected_components(link_forest(keys))
     linked = classes.join(nodes, classes["simhash"] == nodes["node"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "component").select(F.col("simhash").alias("__simhash"), "component_id")
@@ -210,11 +210,11 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of each group (a row of null id only where no other is there); all columns stay.
+    """The rows whose id is the smallest of their group; all columns stay.
 
-    Of repeated rows with that id one stays.
+    Rows that repeat both id and text stay once. Rows of a null id all stay: nothing names them.
     """
-    groups = simhash_groups(df, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = groups.select(F.col(id_col).alias("__id")).distinct()
-    kept = df.join(keep, df[id_col].eqNullSafe(keep["__id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    groups = simhash_groups(df, id_col, text_col)
+    keep = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    kept = df.join(keep, df[id_col] == keep["__id"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.union(df.filter(F.col(id_col).isNull()))
