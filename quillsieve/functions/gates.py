@@ -5,9 +5,6 @@ from __future__ import annotations
 from re import _constants as c
 from re import _parser as parser
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 LEAST = 3
 
 
@@ -54,10 +51,12 @@ def _best(items) -> set[str]:
     return max(good, key=lambda x: (min(map(len, x)), -len(x)), default=set())
 
 
-def gate(pattern: str, text: Column, low: Column) -> Column:
-    """Whether a text can hold a match at all; ``low`` is the text in lower case."""
+def sql_text(x: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def gate_sql(pattern: str, text: str, low: str) -> str:
+    """Whether the column ``text`` can hold a match at all; ``low`` is it in lower case."""
     words, exact = required(pattern)
-    out = F.lit(not words)
-    for w in words:
-        out = out | F.contains(text if exact else low, F.lit(w))
-    return out
+    return " OR ".join(f"contains({text if exact else low}, {sql_text(w)})" for w in words) or "true"

@@ -23,6 +23,16 @@ def lines_of(text: Column) -> Column:
     return F.transform(kept, lambda x: F.when(F.endswith(x, F.lit("\r")), F.left(x, F.length(x) - 1)).otherwise(x))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def any_of(words) -> str:
+    """A regex for any of some literal words."""
+    return "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
+
+
 def java_regex(pattern: str) -> str:
     """A pattern of the Unicode-aware linear-time dialect in Java's: classes, line ends, case folding and final anchors."""
     folded = pattern.startswith("(?i)")
@@ -33,13 +43,15 @@ def java_regex(pattern: str) -> str:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of a text's bytes in bits; 0 below four bytes."""
-    size = F.octet_length(text)
-    raw = F.hex(F.encode(text, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(raw, 2 * i + 1, F.lit(2)))
-    runs = F.array_sort(codes)
-    counted = F.transform(F.array_distinct(runs), lambda c: F.size(F.filter(runs, lambda x: x == c)).cast("double") / size)
-    total = F.aggregate(counted, F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    return F.when(size >= 4, total).otherwise(0.0)
+
+    def bits(value):
+        size = F.octet_length(value)
+        hexed = F.hex(F.encode(value, "UTF-8"))
+        codes = F.regexp_extract_all(hexed, F.lit(".."), F.lit(0))
+        shares = let(codes, lambda all_: F.transform(F.array_distinct(all_), lambda c: F.size(F.filter(all_, lambda x: x == c)).cast("double") / F.size(all_)))
+        return F.when(size >= 4, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+    return let(text, bits)
 
 
 def contains_any(text: Column, words) -> Column:
@@ -50,7 +62,7 @@ def contains_any(text: Column, words) -> Column:
 
 
 def is_placeholder(value: Column) -> Column:
-    return contains_any(value, PLACEHOLDERS)
+    return value.rlike(any_of(PLACEHOLDERS))
 
 
 def window_of(lines: Column, at: Column, radius: int) -> Column:
@@ -69,13 +81,20 @@ def trim(x: Column) -> Column:
 
 def confidence(window: Column, extra: tuple[str, ...] = ()) -> Column:
     """Why a finding is less sure, from the text around it; null if it is not."""
-    low = F.lower(window)
-    words = F.array(*[F.lit(w) for w in (*CONTEXT_KEYWORDS, *extra)])
-    found = F.filter(words, lambda w: F.contains(low, F.lower(w)))
-    many, note = F.size(found), contains_any(window, COMMENT_MARKS)
-    one = F.concat(F.lit("possible placeholder: '"), F.get(found, F.lit(0)), F.when(note, "' + comment").otherwise("' found nearby"))
-    two = F.when(note, "likely placeholder: 2+ keywords + comment").otherwise("likely placeholder: 2+ keywords found")
-    return F.when(many >= 2, two).when(many == 1, one).when(note, "context: comment only (reduced confidence)")
+    words = F.split(F.lit("\x01".join((*CONTEXT_KEYWORDS, *extra))), "\x01")
+
+    def weigh(w):
+        found = let(F.lower(w), lambda low: F.filter(words, lambda k: F.contains(low, F.lower(k))))
+        note = w.rlike(any_of(COMMENT_MARKS))
+
+        def worded(f):
+            one = F.concat(F.lit("possible placeholder: '"), F.get(f, F.lit(0)), F.when(note, "' + comment").otherwise("' found nearby"))
+            two = F.when(note, "likely placeholder: 2+ keywords + comment").otherwise("likely placeholder: 2+ keywords found")
+            return F.when(F.size(f) >= 2, two).when(F.size(f) == 1, one).when(note, "context: comment only (reduced confidence)")
+
+        return let(found, worded)
+
+    return let(window, weigh)
 
 
 def lowered(severity: Column) -> Column:

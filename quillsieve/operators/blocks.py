@@ -97,54 +97,61 @@ def _worded(template: str, m: Column) -> Column:
 
 
 def detect_blocks(df: DataFrame, policy: ScanPolicy = ScanPolicy(), blocks: tuple[Block, ...] = BLOCKS) -> DataFrame:
-    """Findings of the whole-text detectors in a table (filename, text, is_deleted, commit_sha1)."""
-    text, low = F.col("text"), F.lower("text")
-    found = None
+    """Findings of the whole-text detectors in a table (filename, text, is_deleted, commit_sha1), in one scan of it."""
+    text = F.col("text")
+    marked = df.filter(text.isNotNull()).withColumns({"low": F.lower(text), "config": text.rlike(X.any_of(CONFIG_MARKS))})
+    arrays = []
     for rank, block in enumerate(blocks):
-        gate = F.lit(False)
-        for mark in MARKS[block.pattern_id]:
-            gate = gate | F.contains(low, F.lit(mark))
+        gate = F.col("low").rlike(X.any_of(MARKS[block.pattern_id]))
         if block.config_gate:
-            gate = gate & X.contains_any(text, CONFIG_MARKS)
+            gate = F.col("config") & gate
         if block.pattern_id == "php_multiline_secret":
             path = F.lower("filename")
-            gate = gate & ~((F.contains(path, F.lit("/data/")) & F.endswith(path, F.lit("paginators-1.json.php"))) | F.contains(path, F.lit("descriptor_config.php")))
+            gate = gate & ~path.rlike(r"/data/.*paginators-1\.json\.php\z|descriptor_config\.php")
         groups = max(block.value, 1 if "{1}" in block.description + block.context + block.match else 0, 2 if "{2}" in block.description else 0)
-        rows = df.filter(gate).withColumn("m", F.explode(_placed(spans_of(text, block.regex, groups), groups)))
-        value = F.col(f"m.g{block.value}")
-        keep = F.lit(True)
-        if block.drop_placeholders and not policy.exhaustive:
-            keep = keep & ~X.is_placeholder(value)
-        if block.pattern_id == "yaml_block_scalar_secret":
-            keep = keep & X.contains_any(F.lower(value), YAML_WORDS) & (X.entropy(X.trim(F.when(F.contains(value, F.lit(":")), F.regexp_replace(value, r"(?s)^[^:]*:", "")).otherwise(value))) >= block.least_entropy)
-        elif block.least_entropy:
-            keep = keep & (X.entropy(value) >= block.least_entropy)
-        at = X.line_number(text, F.col("m.at"))
-        reason = X.confidence(F.array_join(X.window_of(X.lines_of(text), at - 1, 3), " "), policy.keywords) if block.adjust else F.lit(None).cast("string")
-        rows = rows.filter(keep).select(
-            "filename",
-            at.alias("line"),
-            F.lit(block.pattern_id).alias("pattern_id"),
-            _worded(block.description, F.col("m")).alias("description"),
-            F.lit(block.severity).alias("severity"),
-            (_worded(block.match, F.col("m")) if block.match else F.left(value, F.lit(100))).alias("match"),
-            _worded(block.context, F.col("m")).alias("context"),
-            "is_deleted",
-            "commit_sha1",
-            reason.alias("confidence_adjustment"),
-            F.lit("block").alias("detector"),
-            F.lit(rank).alias("rank"),
-        )
-        rows = rows.withColumn("severity", F.when(F.col("confidence_adjustment").isNotNull(), X.lowered(F.col("severity"))).otherwise(F.col("severity")))
-        found = rows if found is None else found.unionByName(rows)
-    return found.select(*FINDING_COLUMNS, "detector", "rank")
+
+        def made(rank, block):
+            def use(m):
+                return F.struct(
+                    F.lit(rank).alias("rank"),
+                    m["at"].alias("offset"),
+                    m[f"g{block.value}"].alias("value"),
+                    _worded(block.description, m).alias("description"),
+                    (_worded(block.match, m) if block.match else F.left(m[f"g{block.value}"], F.lit(100))).alias("match"),
+                    _worded(block.context, m).alias("context"),
+                )
+
+            return use
+
+        arrays.append(F.when(gate, F.transform(_placed(spans_of(text, block.regex, groups), groups), made(rank, block))))
+    found = marked.withColumn("m", F.explode(F.flatten(F.array_compact(F.array(*arrays))))).select("filename", "text", "is_deleted", "commit_sha1", "m.*")
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rank"))
+    value = F.col("value")
+    if not policy.exhaustive:
+        found = found.filter(~of([b.drop_placeholders for b in blocks]) | ~X.is_placeholder(value))
+    yaml = F.col("rank").isin([i for i, b in enumerate(blocks) if b.pattern_id == "yaml_block_scalar_secret"])
+    measured = F.when(yaml, X.trim(F.regexp_replace(value, r"(?s)\A[^:]*:", ""))).otherwise(value)
+    least = of([b.least_entropy for b in blocks])
+    found = found.filter((~yaml | F.lower("value").rlike(X.any_of(YAML_WORDS))) & ((least == 0) | (X.entropy(measured) >= least)))
+    found = found.withColumn("line", X.line_number(text, F.col("offset")))
+    reason = X.let(X.lines_of(text), lambda ls: X.confidence(F.array_join(X.window_of(ls, F.col("line") - 1, 3), " "), policy.keywords))
+    found = found.withColumn("confidence_adjustment", F.when(of([b.adjust for b in blocks]), reason))
+    severity = of([b.severity for b in blocks])
+    return found.withColumns({"pattern_id": of([b.pattern_id for b in blocks]), "severity": F.when(F.col("confidence_adjustment").isNotNull(), X.lowered(severity)).otherwise(severity), "detector": F.lit("block")}).select(*FINDING_COLUMNS, "detector", "rank")
 
 
 def _placed(spans: Column, groups: int) -> Column:
     """The matches with the code-point offset ``at`` of each."""
     names = [f"g{i}" for i in range(groups + 1)]
-    running = F.transform(spans, lambda m, i: F.struct(F.aggregate(F.slice(spans, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["g0"])).alias("before"), m.alias("m")))
-    return F.transform(running, lambda r: F.struct((r["before"] + F.length(r["m"]["gap"])).alias("at"), *[r["m"][n].alias(n) for n in names]))
+
+    def put(all_):
+        def place(m, i):
+            before = F.aggregate(F.slice(all_, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["g0"]))
+            return F.struct((before + F.length(m["gap"])).alias("at"), *[m[n].alias(n) for n in names])
+
+        return F.transform(all_, place)
+
+    return X.let(spans, put)
 
 
 # Line shapes of YAML keys.
@@ -173,14 +180,17 @@ def detect_yaml(df: DataFrame, policy: ScanPolicy = ScanPolicy()) -> DataFrame:
     body = F.slice(rest, F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.size(rest)))
     scalar = F.left(F.array_join(F.when(mark == "|", F.slice(body, 1, 1)).otherwise(body), " "), F.lit(120))
     value = F.when(F.col("kind") == "scalar", scalar).when(F.col("kind") == "inline", one(YAML_INLINE, 2)).when(~F.startswith(after, F.lit("#")), after)
-    rows = shaped.withColumns({"key": key, "value": value}).filter((F.octet_length("value") >= 8) & (X.entropy(F.col("value")) >= 2.5))
+    # exploded, so that what follows reads the values instead of working them out again
+    rows = shaped.withColumn("v", F.explode(F.array(F.struct(key.alias("key"), value.alias("value"), mark.alias("mark"), one(YAML_ANCHOR, 2).alias("anchor")))))
+    rows = rows.select("filename", "is_deleted", "commit_sha1", "lines", "at", "kind", "v.*").filter((F.octet_length("value") >= 8) & (X.entropy(F.col("value")) >= 2.5))
     if not policy.exhaustive:
         rows = rows.filter(X.is_secret_key(F.col("key")) & ~X.is_placeholder(F.col("value")))
     k = F.col("kind")
-    anchor = one(YAML_ANCHOR, 2)
+    anchor, mark = F.col("anchor"), F.col("mark")
     short = F.left("value", F.lit(80))
     pick = lambda a, b, c, d: F.when(k == "scalar", a).when(k == "inline", b).when(k == "anchor", c).otherwise(d)
-    reason = X.confidence(F.array_join(X.window_of(F.col("lines"), F.col("at"), 3), " "), policy.keywords)
+    rows = rows.withColumn("reason", X.confidence(F.array_join(X.window_of(F.col("lines"), F.col("at"), 3), " "), policy.keywords))
+    reason = F.col("reason")
     return rows.select(
         "filename",
         (F.col("at") + 1).cast("int").alias("line"),

@@ -20,3 +20,4 @@ FINDING = T.StructType(
 )
 FINDING_COLUMNS = FINDING.fieldNames()
 PATTERNS = T.StructType([T.StructField(n, T.StringType(), False) for n in ("id", "severity", "description", "regex")])
+FILES = T.StructType([T.StructField("filename", T.StringType()), T.StructField("text", T.StringType()), T.StructField("is_deleted", T.BooleanType()), T.StructField("commit_sha1", T.StringType())])
