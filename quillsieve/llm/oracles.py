@@ -76,9 +76,12 @@ def _shard(count: int) -> str:
 
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, text, {_shard(24)} AS a, {_shard(25)} AS b FROM documents)
-SELECT doc_id, size, CRC AS text_crc32, 'key' AS law, CAST(a AS INTEGER) AS shard,
-  row_number() OVER (PARTITION BY a ORDER BY doc_id) - 1 AS slot, CAST(b AS INTEGER) AS grown_shard FROM d
+WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, text, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, {_shard(24)} AS a, {_shard(25)} AS b,
+  list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT d.*, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda x, y: xor(x >> 8, CAST(t[xor(x & 255, y) + 1] AS BIGINT))), 4294967295) END AS crc FROM d, k)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(a AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY a ORDER BY doc_id, crc, size) - 1 AS slot, CAST(b AS INTEGER) AS grown_shard FROM c
 """
 
 
@@ -86,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op2_secrets": OP2,
     "op3_embeddings": OP3,
     "op5_decontamination": OP5,
+    "op10_sharding": OP10,
 }
