@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -9,16 +10,20 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handled by one numpy pass, so that a worker's arrays stay near a hundred megabytes.
 BLOCK_BYTES = 2 << 20
 
 
-def lower_ascii(column):
-    """Lower-cases A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on from stage to stage, several on a machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,6 +37,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = int(np.searchsorted(off, off[start] + limit, side="right")) - 1
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
+            give_back()
             start = stop
 
 
