@@ -9,11 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of one Arrow batch between the JVM and Python; the default bounds rows only, whatever they hold.
+ARROW_BYTES = 4 << 20
 HOME = Path(__file__).resolve().parent
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends the package to the executors once, so that they need no installed copy of it."""
+    """Sends the package to the executors once, so that they need no installed copy, and bounds Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if getattr(context, "_quillsieve", False):
         return
