@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import pii_weak, quality_cnn, sentencepiece_topk, simhash_golay, suffix_decontam
+from quillsieve.llm import pii_weak, quality_cnn, sentencepiece_topk, shingle_join, suffix_decontam
 from quillsieve.llm.common import discard, materialize
 from quillsieve.llm.queries import PIECE_MODEL, table
 from quillsieve.session import ship_package
@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of SimHash near-duplicates the document of the smallest id."""
+    """Keeps one document, of the smallest id, of each group linked by a similarity of 0.8 over five-word shingles."""
     ship_package(spark)
-    return simhash_golay.drop_near_duplicates(docs)
+    return shingle_join.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
