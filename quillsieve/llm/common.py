@@ -75,12 +75,14 @@ def with_columns(batch: pa.RecordBatch, keep: Sequence[str], new: dict[str, pa.A
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; a temporary one only where none is named and all is on one machine."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not jsc.getCheckpointDir().isDefined():
+        if not jsc.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return jsc.getCheckpointDir().get()
 

@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillsieve.llm.common import materialize
+
+#: Rows of a table that may go to every executor: some megabytes. A longer one is joined by its key.
+FEW = 200_000
+
 
 def deal(df: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
     """Adds tile numbers i, j to rows of (keys, side 0 or 1, member) and gathers each tile in one partition, in order.
@@ -18,6 +23,10 @@ def deal(df: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
     """
     counts = df.groupBy(*keys).agg(F.count(F.when(F.col("side") == 0, 1)).alias("__l"), F.count(F.when(F.col("side") == 1, 1)).alias("__r"))
     wide = counts.filter((F.col("__l") > limit) | (F.col("__r") > limit)).select(*keys, F.ceil(F.col("__l") / limit).cast("int").alias("__i"), F.ceil(F.col("__r") / limit).cast("int").alias("__j"))
+    wide = materialize(wide, "wide")
+    if wide.count() <= FEW:
+        # joined before anything is dealt by key, so that no task gets a whole large bucket
+        wide = F.broadcast(wide)
     left = F.col("side") == 0
     own = F.pmod(F.xxhash64(member), F.greatest(F.lit(1), F.coalesce(F.when(left, F.col("__i")).otherwise(F.col("__j")), F.lit(1)))).cast("int")
     across = F.greatest(F.lit(1), F.coalesce(F.when(left, F.col("__j")).otherwise(F.col("__i")), F.lit(1)))

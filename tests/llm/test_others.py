@@ -104,8 +104,8 @@ def test_vectors_equal_brute_force(spark):
     n = len(data)
     data += [(n, None, 1), (n + 1, [], 1), (n + 2, [None] * 16, 1), (n + 3, data[0][1], None), (None, data[0][1], 0)]
     df = spark.createDataFrame([(*r, "c") for r in data], "vec_id long, embedding array<float>, label int, n_links string")
-    for tables in (8, 4):
-        got = {r["vec_id"]: r for r in itq_dedup.near_vectors(df, tables=tables).collect()}
+    for layout in (None, (4, 4)):
+        got = {r["vec_id"]: r for r in itq_dedup.near_vectors(df, layout=layout).collect()}
         links = {}
         for a, va, la in data:
             for b, vb, lb in data:
@@ -117,7 +117,7 @@ def test_vectors_equal_brute_force(spark):
                         links.setdefault(a, set()).add(b)
         found = sum(r["n_links"] for k, r in got.items() if k is not None)
         true = sum(len(x) for k, x in links.items() if k is not None)
-        assert found >= 0.9 * true and all(got[k]["n_links"] <= len(links.get(k, ())) for k in got if k is not None)
+        assert found == true and all(got[k]["n_links"] == len(links.get(k, ())) for k in got if k is not None)
         for k, r in got.items():
             if k is not None and k >= n - 2:
                 assert (r["n_links"], r["component_id"], r["kept"]) == (0, k, True)
