@@ -28,6 +28,32 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running(values: Column, merge, zero: Column, depth: int = 2, width: int = 32) -> Column:
+    """Of each element the fold of all before it, in nearly linear time: folds of blocks, then folds within a block."""
+    if not depth:
+        return let(values, lambda all_: F.transform(all_, lambda _, i: F.aggregate(F.slice(all_, F.lit(1), i), zero, lambda a, x: merge(a, x))))
+
+    def parted(blocks):
+        firsts = running(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: merge(a, x))), merge, zero, depth - 1, width)
+        within = lambda b, first: F.transform(b, lambda _, i: merge(first, F.aggregate(F.slice(b, F.lit(1), i), zero, lambda a, x: merge(a, x))))
+        return let(firsts, lambda at: F.flatten(F.transform(blocks, lambda b, k: within(b, F.get(at, k)))))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / width).cast("int")), lambda k: F.slice(all_, F.greatest(k, F.lit(0)) * width + 1, F.lit(width)))
+    return F.when(F.size(values) == 0, values).otherwise(let(let(values, cut), parted))
+
+
+def pieces_of(text: Column, width: int = 4096) -> Column:
+    """A text in pieces of so many code points, for ``cut_out``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+
+
+def cut_out(pieces: Column, start: Column, end: Column, width: int = 4096) -> Column:
+    """The code points from ``start`` to ``end`` (exclusive), without a walk over all that stands before them."""
+    first = F.floor(start / width).cast("int")
+    near = F.array_join(F.slice(pieces, first + 1, F.floor(end / width).cast("int") - first + 1), "")
+    return F.substring(near, (start - first * width + 1).cast("int"), (end - start).cast("int"))
+
+
 def any_of(words) -> str:
     """A regex for any of some literal words."""
     return "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
