@@ -54,6 +54,19 @@ class _Parser:
         self.moves.append([])
         return len(self.moves) - 1
 
+    def reversed(self) -> _Parser:
+        """The same nodes with every way turned round."""
+        out = _Parser()
+        for _ in self.moves:
+            out.node()
+        for x, ways in enumerate(self.epsilon):
+            for y in ways:
+                out.epsilon[y].append(x)
+        for x, ways in enumerate(self.moves):
+            for wanted, y in ways:
+                out.moves[y].append((wanted, x))
+        return out
+
     def build(self, pattern: str, start: int) -> int:
         self.text, self.at, self.fold = pattern, 0, False
         end = self.alternatives(start)
@@ -148,31 +161,40 @@ class Automaton:
     """Minimal DFA as arrays: ``code`` maps bytes to classes, ``step`` has next states, ``accept`` rule bits.
 
     States in ``step`` are multiplied by the number of classes. State 0 is the start; in an unanchored
-    automaton it is also what a byte that no rule knows leads to.
+    automaton it is also what a byte that no rule knows leads to. A ``backward`` automaton reads texts
+    from their end: it is unanchored and accepts where a match begins.
     """
 
-    def __init__(self, rules: tuple[Rule, ...], anchored: bool, counted: bool, heads_only: bool = False):
+    def __init__(self, rules: tuple[Rule, ...], backward: bool = False, heads_only: bool = False):
         nfa = _Parser()
+        anchored = not backward
         start = nfa.node()
-        finals, tails = {}, {}
+        finals, begins, runs = {}, {}, {}
         for k, rule in enumerate(rules):
-            at = nfa.node()
+            begin = at = nfa.node()
             nfa.epsilon[start].append(at)
             at = nfa.build(rule.head, at)
             if not heads_only:
                 scan = _Parser()
                 scan.text, scan.at, scan.fold = rule.tail, 0, False
                 wanted = scan.bytes_at()
-                # The byte pass only says where to measure: it counts the tail of a rule without a head, and
-                # of other rules sees one byte of it. More would multiply states and find nothing else.
-                for n in range(rule.least if counted and not rule.head else 1):
+                # Backward, a rule without a head begins where its whole tail follows; others where one byte of it does.
+                least = rule.least if backward and not rule.head else 1
+                for n in range(least):
                     to = nfa.node()
                     nfa.moves[at].append((wanted, to))
+                    runs[to] = (k, least - 1 - n)
                     at = to
-                    tails[at] = (k, n)
-                if not counted:
+                if not backward:
                     nfa.moves[at].append((wanted, at))
+                elif not rule.head:
+                    nfa.moves[begin].append((wanted, begin))
+                    runs[begin] = (k, least)
             finals[at] = 1 << k
+            begins[begin] = 1 << k
+        first = {start}
+        if backward:
+            nfa, first, finals = nfa.reversed(), set(finals), begins
         sets = sorted({s for moves in nfa.moves for s, _ in moves}, key=sorted)
         signature = [tuple(b in s for s in sets) for b in range(256)]
         classes = {s: i for i, s in enumerate(dict.fromkeys(signature))}
@@ -189,21 +211,23 @@ class Automaton:
                     if x not in seen:
                         seen.add(x)
                         todo.append(x)
+            if not backward:
+                return frozenset(seen)
             # Of one rule's tail the longest run says all: it accepts first and ends with the others.
             longest: dict[int, int] = {}
             for x in seen:
-                if x in tails:
-                    k, n = tails[x]
+                if x in runs:
+                    k, n = runs[x]
                     longest[k] = max(longest.get(k, -1), n)
-            return frozenset(x for x in seen if x not in tails or tails[x][1] == longest[tails[x][0]])
+            return frozenset(x for x in seen if x not in runs or runs[x][1] == longest[runs[x][0]])
 
-        first = closure({start})
-        states, todo, step = {first: 0}, [first], []
+        start_set = closure(first)
+        states, todo, step = {start_set: 0}, [start_set], []
         for now in todo:
             row = []
             for c in range(self.classes):
                 b = members[c][0]
-                to = {t for x in now for s, t in nfa.moves[x] if b in s} | (set() if anchored else {start})
+                to = {t for x in now for s, t in nfa.moves[x] if b in s} | (set() if anchored else first)
                 to = closure(to)
                 if to not in states:
                     states[to] = len(states)
@@ -235,65 +259,79 @@ class Automaton:
         #: bytes after which the automaton is at its start, whatever came before
         self.resets = (table == 0).all(0)[self.code] if not anchored else np.zeros(256, bool)
 
+    def plain(self) -> tuple[list, list, list, list]:
+        """step, code, and by state whether it accepts and is dead, as lists for stepping one byte at a time."""
+        if not hasattr(self, "_plain"):
+            self._plain = (self.step.tolist(), self.code.tolist(), np.repeat(self.accept > 0, self.classes).tolist(), np.repeat(self.dead, self.classes).tolist())
+        return self._plain
+
 
 class Scanner:
-    """All rules compiled: the combined automaton for the byte pass, small ones that measure what it finds."""
+    """All rules compiled: the combined automaton for the byte pass, and small ones that say where a match ends."""
 
     LANE = 512
+    #: Lanes that numpy steps together at least; fewer are stepped one by one.
+    FEW = 16
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = Automaton(rules, anchored=False, counted=True)
-        self.exact = [Automaton((r,), anchored=True, counted=False) for r in rules]
-        self.heads = [Automaton((r,), anchored=True, counted=False, heads_only=True) for r in rules]
+        self.all = Automaton(rules, backward=True)
+        self.exact = [Automaton((r,)) for r in rules]
+        self.heads = [Automaton((r,), heads_only=True) for r in rules]
         if not self.all.resets.any():
             raise ValueError("the rules know every byte; none can part texts")
         self.parting = int(np.flatnonzero(self.all.resets)[0])
 
-    def hits(self, data: np.ndarray) -> np.ndarray:
-        """Positions of bytes at which the combined automaton accepts. ``data`` ends with a parting byte."""
+    def begins(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending positions at which matches begin, and the bits of their rules: one pass over the bytes, from the end.
+
+        The pass is cut into lanes at bytes that reset the automaton, and the lanes are stepped together.
+        """
         a = self.all
+        data = np.ascontiguousarray(data[::-1])
         resets = np.flatnonzero(a.resets[data])
-        cut = np.unique(np.concatenate([[0], resets[np.searchsorted(resets, np.arange(self.LANE, len(data), self.LANE))] + 1, [len(data)]]))
+        goals = np.arange(self.LANE, len(data), self.LANE)
+        near = np.searchsorted(resets, goals)
+        cut = np.unique(np.concatenate([[0], resets[near[near < len(resets)]] + 1, [len(data)]]))
         begin, size = cut[:-1], np.diff(cut)
         order = np.argsort(-size, kind="stable")
         at, size = begin[order], size[order]
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
+        together = int(np.searchsorted(-active, -self.FEW, side="right"))
         state = np.zeros(len(at), np.int32)
         code = a.code[data]
-        accepts = np.repeat(a.accept > 0, a.classes)
-        found = []
-        for n in active.tolist():
+        accepts = np.repeat(a.accept, a.classes)
+        found, bits = [], []
+        end = (at + size).tolist()
+        for n in active[:together].tolist():
             at, state = at[:n], state[:n]
             state = a.step[state + code[at]]
             good = accepts[state]
             if good.any():
-                found.append(at[good])
+                hit = np.flatnonzero(good)
+                found.append(at[hit])
+                bits.append(good[hit])
             at = at + 1
-        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def spans(self, raw: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end) of every rule's leftmost longest matches one after another, short ones dropped."""
-        out = []
-        for k, rule in enumerate(self.rules):
-            at = 0
-            while at < len(raw):
-                end = self._walk(self.exact[k], raw, at, len(raw))
-                if end < 0:
-                    at += 1
-                    continue
-                head = self._walk(self.heads[k], raw, at, end - 1)
-                if end - max(head, at) >= rule.least:
-                    out.append((at, k, end))
-                at = end
-        return sorted(out)
+        step, marks = a.plain()[0], accepts.tolist()
+        for lane in range(int(active[together]) if together < len(active) else 0):
+            now, places, hits = int(state[lane]), [], []
+            for k, c in enumerate(code[int(at[lane]) : end[lane]].tolist(), int(at[lane])):
+                now = step[now + c]
+                if marks[now]:
+                    places.append(k)
+                    hits.append(marks[now])
+            found.append(np.array(places, np.int64))
+            bits.append(np.array(hits, np.int64))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        where, what = len(data) - 1 - np.concatenate(found), np.concatenate(bits)
+        order = np.argsort(where)
+        return where[order], what[order]
 
     @staticmethod
     def _walk(a: Automaton, raw: bytes, at: int, stop: int) -> int:
         """End of the longest match at ``at`` that ends by ``stop``, -1 for none."""
-        if not hasattr(a, "_plain"):
-            a._plain = (a.step.tolist(), a.code.tolist(), np.repeat(a.accept > 0, a.classes).tolist(), np.repeat(a.dead, a.classes).tolist())
-        step, code, accept, dead = a._plain
+        step, code, accept, dead = a.plain()
         state, best = 0, at if accept[0] else -1
         for k in range(at, stop):
             state = step[state + code[raw[k]]]
@@ -304,29 +342,37 @@ class Scanner:
         return best
 
     def scan(self, data: np.ndarray, bounds: np.ndarray) -> list[list[tuple[int, int, int]]]:
-        """Of each row the (start, rule, end) spans in code points, by start and then rule."""
+        """Of each row the (start, rule, end) spans in code points, by start and then rule.
+
+        A walk starts only where a match is known to begin and the next one after its end, so the work
+        stays in proportion to the text.
+        """
         rows = len(bounds) - 1
         out: list[list] = [[] for _ in range(rows)]
         if not len(data):
             return out
         parted = np.insert(data, bounds[1:], self.parting)
-        found = self.hits(parted)
-        if not len(found):
+        where, bits = self.begins(parted)
+        if not len(where):
             return out
-        resets = np.flatnonzero(self.all.resets[parted])
-        # What lies between two resetting bytes can be measured alone: no match crosses them.
-        right = resets[np.unique(np.searchsorted(resets, found))]
-        index = np.searchsorted(resets, right)
-        left = np.where(index > 0, resets[np.maximum(index - 1, 0)] + 1, 0)
-        first = bounds[:-1] + np.arange(rows)
-        row = np.searchsorted(first, left, side="right") - 1
         raw = parted.tobytes()
-        for r, a, b in zip(row.tolist(), left.tolist(), right.tolist()):
-            # row r ends with its parting byte; rows without text share no piece with others
-            before = int(np.count_nonzero((parted[first[r] : a] & 0xC0) != 0x80))
-            out[r] += [(before + s, k, before + e) for s, k, e in self.spans(raw[a:b])]
-        for spans in out:
-            spans.sort()
+        spans = []
+        for k, rule in enumerate(self.rules):
+            mine = where[bits >> k & 1 == 1]
+            i = 0
+            while i < len(mine):
+                at = int(mine[i])
+                end = self._walk(self.exact[k], raw, at, len(raw))
+                head = self._walk(self.heads[k], raw, at, end - 1)
+                if end - max(head, at) >= rule.least:
+                    spans.append((at, k, end))
+                i = int(np.searchsorted(mine, end))
+        first = bounds[:-1] + np.arange(rows)
+        points = np.concatenate([[0], np.cumsum((parted & 0xC0) != 0x80)])
+        for at, k, end in sorted(spans):
+            r = int(np.searchsorted(first, at, side="right")) - 1
+            before = points[first[r]]
+            out[r].append((int(points[at] - before), k, int(points[end] - before)))
         return out
 
 
@@ -343,7 +389,7 @@ def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
 
     Per rule the matches are leftmost, longest and do not overlap; those with a short tail are dropped
     after they took their text. Null and empty texts have no spans; every row is scanned whole and by
-    itself, repeated rows too; other columns are carried, and a column named as ``out`` is replaced.
+    itself, repeated rows too; an empty table gives an empty one; other columns are carried, and a column named as ``out`` is replaced.
     """
     keep = df.columns if keep is None else list(keep)
     source = df.select(list(dict.fromkeys([*keep, text_col])))
