@@ -87,11 +87,19 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Tables that this session has written and not discarded.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # what is not discarded before goes when the driver ends
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -101,6 +109,22 @@ def discard(df: DataFrame | None) -> None:
     """Deletes a table of ``materialize`` that nothing reads any more."""
     path = getattr(df, "_written", None)
     if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def written() -> list[str]:
+    """The tables that are there now, for ``sweep``."""
+    return list(_written)
+
+
+def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Deletes the tables written since ``before`` was taken, but for ``keep``, whose rows no longer come from them."""
+    for path in set(_written) - set(before) - {getattr(keep, "_written", None)}:
+        _delete(spark, path)

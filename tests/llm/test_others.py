@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -46,6 +47,35 @@ def test_added_rules_find_their_tokens():
     assert "forge_token" in names[0] and "chat_token" in names[1] and "live_key" in names[2] and "private_key" in names[3] and not names[4]
 
 
+def test_secret_scans_take_linear_time_and_keep_repeated_rows(spark):
+    texts = ["eyJ" * 350_000 + " token=abcdefgh", "ab" * 500_000, "token=" * 170_000, "eyJa." * 200_000, "token" + " " * 1_000_000 + "=abcdefg", "-----BEGIN " * 90_000]
+    scanner = secret_automaton.compiled(secret_automaton.RULES)
+    for text in texts:
+        raw = text.encode()
+        began = time.time()
+        found = scanner.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert time.time() - began < 4
+        base = [(secret_automaton.RULES[k].name, s, e) for s, k, e in found if k < 3]
+        assert base == plain_secrets(text)
+    df = spark.createDataFrame([(1, "token=abcdef1", None)] * 3 + [(None, "token=abcdef1", "x")], "doc_id long, text string, kind string")
+    assert [[tuple(s) for s in r["spans"]] for r in secret_automaton.find_secrets(df).collect()] == [[("assign", 0, 13)]] * 4
+
+
+def test_added_secret_rules_equal_plain_regexes():
+    random.seed(5)
+    plain = [
+        (r"-----BEGIN (?:(?:RSA|EC|DSA|OPENSSH|ENCRYPTED) )?PRIVATE KEY----(-+)", 1), (r"gh[pousr]_([A-Za-z0-9]+)", 36), (r"xox[abeprs]-([A-Za-z0-9-]+)", 10),
+        (r"[rs]k_live_([A-Za-z0-9]+)", 16), (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 10),
+    ]
+    parts = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-", "ghp_", "gho_", "A1b2" * 9, "xoxb-", "12ab", "sk_live_", "eyJ", "eyJab", ".", " ", "\n", "é", "x" * 16]
+    texts = ["".join(random.choice(parts) for _ in range(random.randrange(0, 30))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    found = secret_automaton.compiled(secret_automaton.RULES).scan(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    for text, got in zip(texts, found):
+        want = [(m.start(), 3 + k, m.end()) for k, (rx, least) in enumerate(plain) for m in re.finditer(rx, text) if len(m[1]) >= least]
+        assert [x for x in got if x[1] > 2] == sorted(want), text
+
+
 def plain_contamination(documents, benchmark):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
