@@ -1,8 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles: prefix-filtered join, each pair verified exactly."""
+"""What verifies and completes SimHash links by Jaccard similarity: a prefix-filtered join of word shingles that loses no pair."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import blocks, discard, extend, field, materialize, text_bytes, with_columns
-from quillsieve.llm.components import connected_components
+from quillsieve.llm.common import blocks, extend, field, materialize, text_bytes, with_columns
 from quillsieve.llm.tiles import runs
 
 SHINGLE = 5
@@ -24,6 +23,8 @@ SLOTS, CHUNK = 1 << 21, 1 << 16
 TILE, PAIRS = 1024, 1 << 15
 #: Places of a bucket's order within which rows are compared before all others.
 NEXT = 3
+#: Bits of a text's parity sketch: as many as it has shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 128, 1024
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -56,17 +57,66 @@ def _new_texts(batches, text_col: str):
                 yield key, shingles(words)
 
 
-def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds __row, a number of its own, and __key, a hash of the text's words; null and blank texts have key 0."""
+def parity(g: np.ndarray) -> bytes:
+    """A bit for each slot of a power of two of them: whether an odd number of the shingles falls into it.
+
+    Sketches of two sets differ in no more bits than shingles are in one set alone. Halves laid over
+    each other make the sketch of half as many bits.
+    """
+    bits = LEAST_BITS
+    while bits < min(len(g), MOST_BITS):
+        bits *= 2
+    counts = np.bincount((g >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1 > 0, bitorder="little").tobytes()
+
+
+class Sketches:
+    """Parity sketches of a table's rows, laid out so that rows of different lengths can be compared."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        size = np.array([len(x) for x in raw])
+        words = MOST_BITS // 64
+        self.size = size
+        self.whole = np.zeros((len(raw), words), np.uint64)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            self.whole[at, : n // 8] = np.frombuffer(b"".join(raw[i] for i in at.tolist()), np.uint64).reshape(len(at), -1)
+
+    def _folded(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        got = self.whole[at]
+        n = self.size[at]
+        while (longer := n > size).any():
+            for full in np.unique(n[longer]).tolist():
+                rows = np.flatnonzero(longer & (n == full))
+                half = full // 16
+                got[rows, :half] ^= got[rows, half : 2 * half]
+                got[rows, half : 2 * half] = 0
+                n[rows] = full // 2
+        return got
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles that are in one of two texts alone, at least."""
+        size = np.minimum(self.size[a], self.size[b])
+        return np.bitwise_count(self._folded(a, size) ^ self._folded(b, size)).sum(1).astype(np.int64)
+
+
+def keyed(df: DataFrame, text_col: str = "text", prints: Callable[[np.ndarray], int] = lambda g: 0) -> DataFrame:
+    """Adds __row, a number of its own, __key, a hash of the text's words, and __print, ``prints`` of its shingles.
+
+    Null and blank texts have key 0.
+    """
     source = df.withColumn("__row", F.monotonically_increasing_id())
     columns = source.columns
 
     def run(batches):
         for batch in blocks(batches, text_col):
-            got = np.array([xxhash.xxh64_intdigest(b" ".join(w)) if w else 0 for w in _words(batch, text_col)], np.uint64)
-            yield with_columns(batch, columns, {"__key": pa.array(got.view(np.int64))})
+            words = list(_words(batch, text_col))
+            key = np.array([xxhash.xxh64_intdigest(b" ".join(w)) if w else 0 for w in words], np.uint64)
+            mark = np.array([prints(shingles(w)) for w in words], np.uint64)
+            yield with_columns(batch, columns, {"__key": pa.array(key.view(np.int64)), "__print": pa.array(mark.view(np.int64))})
 
-    return source.mapInArrow(run, extend(source, columns, [field("__key", "long")]))
+    return source.mapInArrow(run, extend(source, columns, [field("__key", "long"), field("__print", "long")]))
 
 
 def commonness(texts: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -103,7 +153,7 @@ def commonness(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def postings(texts: DataFrame, level: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(token, key, n, pos): the first shingles of each text in the order of their commonness, n of all its shingles.
+    """(token, key, n, pos, sketch): the first shingles of each text in the order of their commonness, n of all its shingles.
 
     Two sets of which the larger has n shingles share NEAR / OF of n at least, so each holds one of the
     common shingles among its first n - ceil(n * NEAR / OF) + 1.
@@ -111,37 +161,48 @@ def postings(texts: DataFrame, level: np.ndarray, text_col: str = "text") -> Dat
     shared = texts.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
-        held, rows = [], 0
+        held, marks, rows = [], [], 0
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["token", "key", "n", "pos"])
+            sketch = pa.array(marks, pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
+            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in zip(*held)], sketch], names=["token", "key", "n", "pos", "sketch"])
 
         for key, g in _new_texts(batches, text_col):
             n = len(g)
             first = n - -(-n * NEAR // OF) + 1
+            marks.append(parity(g))
             g = g[np.lexsort((g, shared.value[g & np.uint64(SLOTS - 1)]))[:first]]
             held.append((g.view(np.int64), np.full(first, key, np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
             rows += first
             if rows > 1 << 16:
                 yield batch()
-                held, rows = [], 0
+                held, marks, rows = [], [], 0
         if held:
             yield batch()
 
-    return texts.select("__key", text_col).mapInArrow(run, "token long, key long, n int, pos int")
+    return texts.select("__key", text_col).mapInArrow(run, "token long, key long, n int, pos int, sketch binary")
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
     """The postings of tokens that stand in two rows or more, with their number c."""
-    counts = found.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    # counted apart, so that a join on a frequent token can be split
+    counts = materialize(found.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "tokens")
     return found.join(counts, "token")
 
 
-def _may_link(key, n, pos, a, b) -> np.ndarray:
+def _may_link(key, n, pos, sketches, a, b) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that nothing known of them rules out; each filter keeps all pairs that are similar."""
     na, nb = n[a], n[b]
     # at the first common shingle, all that is still to come must suffice
     rest = np.minimum(na - pos[a], nb - pos[b])
-    return (key[a] != key[b]) & (OF * np.minimum(na, nb) >= NEAR * np.maximum(na, nb)) & ((NEAR + OF) * rest >= NEAR * (na + nb))
+    ok = (key[a] != key[b]) & (OF * np.minimum(na, nb) >= NEAR * np.maximum(na, nb)) & ((NEAR + OF) * rest >= NEAR * (na + nb))
+    a, b = a[ok], b[ok]
+    # similar sets have at most this share of their shingles in one of them alone
+    ok = np.ones(len(a), bool)
+    for lo in range(0, len(a), 1 << 16):
+        x, y = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+        ok[lo : lo + (1 << 16)] = (NEAR + OF) * sketches.apart(x, y) <= (OF - NEAR) * (n[x] + n[y])
+    return a[ok], b[ok]
 
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -155,19 +216,20 @@ def neighbours(shared: DataFrame) -> DataFrame:
     Their number grows with the postings, not with the square of a bucket; what they link need not be paired again.
     """
     parts = F.ceil(F.col("c") / TILE).cast("int")
-    dealt = shared.select("token", F.pmod(F.xxhash64("key"), parts).cast("int").alias("i"), F.xxhash64("token", "key").alias("at"), "key", "n", "pos")
+    dealt = shared.select("token", F.pmod(F.xxhash64("key"), parts).cast("int").alias("i"), F.xxhash64("token", "key").alias("at"), "key", "n", "pos", "sketch")
     dealt = dealt.repartition("token", "i").sortWithinPartitions("token", "i", "at")
 
     def run(batches):
         for table, head in runs(batches, 2):
             key, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos"))
+            sketches = Sketches(table.column("sketch"))
             bucket = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
             us, vs = [], []
             for step in range(1, min(NEXT, len(key) - 1) + 1):
                 a = np.flatnonzero(bucket[step:] == bucket[:-step])
-                a = a[_may_link(key, n, pos, a, a + step)]
+                a, b = _may_link(key, n, pos, sketches, a, a + step)
                 us.append(key[a])
-                vs.append(key[a + step])
+                vs.append(key[b])
             if us and sum(map(len, us)):
                 yield _pairs(np.concatenate(us), np.concatenate(vs))
 
@@ -181,12 +243,13 @@ def candidates(shared: DataFrame, linked: DataFrame) -> DataFrame:
     """
     dealt = shared.join(linked, shared["key"] == linked["node"], "left").withColumn("component", F.coalesce("component", "key")).withColumn("parts", F.ceil(F.col("c") / TILE).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "pos", "component")
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "pos", "component", "sketch")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def run(batches):
         for table, head in runs(batches, 3):
             i, j, own, key, n, pos, component = (table.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "own", "key", "n", "pos", "component"))
+            sketches = Sketches(table.column("sketch"))
             # each row meets the rows after it in its tile
             end = np.append(head[1:], len(key))
             after = np.repeat(end, end - head) - np.arange(len(key)) - 1
@@ -197,9 +260,10 @@ def candidates(shared: DataFrame, linked: DataFrame) -> DataFrame:
                 a = np.repeat(np.arange(lo, hi), after[lo:hi])
                 b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
                 lo = hi
-                ok = (component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b])) & _may_link(key, n, pos, a, b)
-                if ok.any():
-                    yield _pairs(key[a[ok]], key[b[ok]])
+                ok = (component[a] != component[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+                a, b = _may_link(key, n, pos, sketches, a[ok], b[ok])
+                if len(a):
+                    yield _pairs(key[a], key[b])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
@@ -249,39 +313,3 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of texts linked by a Jaccard similarity of their shingles of NEAR / OF or more.
-
-    The row of the smallest id stays, one of a null id only where the whole group has null ids; ids may
-    repeat. Texts of equal words are compared once; null, empty and blank ones are one group. All columns
-    stay; an empty table gives an empty table.
-    """
-    stored = materialize(keyed(df, text_col), "keyed")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
-    leaders = materialize(stored.groupBy("__key").agg(F.min(order).alias("first")).select(F.col("__key").alias("key"), F.col("first.__row").alias("row"), "first"), "leaders")
-    found = materialize(postings(stored, commonness(stored, text_col), text_col), "postings")
-    shared = materialize(shared_postings(found), "shared")
-    discard(found)
-
-    def grams(batches):
-        for batch in blocks(batches, text_col):
-            got = [shingles(w).tobytes() for w in _words(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", "grams"])
-
-    def links(pairs):
-        pairs = materialize(pairs, "pairs")
-        nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-        wanted = leaders.join(nodes, "key", "left_semi").select(F.col("row").alias("__row"))
-        sets = stored.select("__row", "__key", text_col).join(wanted, "__row", "left_semi").mapInArrow(grams, "key long, grams binary")
-        return materialize(verified(pairs, sets), "links")
-
-    # what a few comparisons of each text link is not compared again; the rest is, in full
-    near = links(neighbours(shared))
-    rest = links(candidates(shared, connected_components(near)))
-    discard(shared)
-    linked = connected_components(near.union(rest))
-    grouped = leaders.join(linked, leaders["key"] == linked["node"], "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
-    keep = grouped.select(F.col("first.__row").alias("__row"))
-    return stored.join(keep, "__row", "left_semi").select(df.columns)

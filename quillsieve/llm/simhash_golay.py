@@ -8,7 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import blocks, extend, field, materialize, text_bytes, with_columns
+from quillsieve.llm import shingle_join
+from quillsieve.llm.common import blocks, discard, extend, field, materialize, text_bytes, with_columns
 from quillsieve.llm.components import connected_components
 from quillsieve.llm.tiles import deal, forest, runs
 
@@ -86,13 +87,18 @@ def fingerprint(raw: bytes) -> int:
         end = np.cumsum(size) - 1
         start = end - size + 1
         got = np.fromiter([hashed(line[a:b], SEED) for a, b in zip(start[: 1 - SHINGLE].tolist(), end[SHINGLE - 1 :].tolist())], np.uint64, len(words) - SHINGLE + 1)
-    columns = got.view(np.uint8).reshape(-1, 8)
-    if len(got) < 64:
+    return majority(got)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some 64-bit hashes."""
+    columns = hashes.view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 64:
         counts = np.unpackbits(columns, axis=1, bitorder="little").sum(0, dtype=np.int64)
     else:
         # how often each byte stands at each of the eight places, times the bits of the byte
         counts = np.concatenate([np.bincount(columns[:, k], minlength=256) @ BITS_OF_BYTE for k in range(8)])
-    return int(np.packbits(2 * counts > len(got), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, out: str = "simhash") -> DataFrame:
@@ -210,11 +216,64 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is the smallest of their group; all columns stay.
+    """One row of each group of ``simhash_groups``: the smallest id, a null id only where the whole group has null ids.
 
-    Rows that repeat both id and text stay once. Rows of a null id all stay: nothing names them.
+    Of rows that repeat that id one stays. All columns stay; an empty table gives an empty one.
+    """
+    stored = materialize(fingerprints(df.withColumn("__row", F.monotonically_increasing_id()), text_col, out="__print"), "simhash")
+    prints = stored.select(F.col("__print").alias("simhash")).distinct()
+    nodes = connected_components(link_forest(materialize(golay_keys(prints), "golay")))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("__row").alias("row"))).alias("first")
+    classes = stored.groupBy(F.col("__print").alias("simhash")).agg(first)
+    groups = classes.join(nodes, classes["simhash"] == nodes["node"], "left").groupBy(F.coalesce("component", "simhash")).agg(F.min("first").alias("first"))
+    return stored.join(groups.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(df.columns)
+
+
+def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of texts linked by a Jaccard similarity of five-word shingles of 0.8 or more.
+
+    Fingerprints of the shingle sets are linked through the Golay keys, which finds the nearest texts
+    cheaply; each such link counts only if the shingles themselves are similar enough. Similar texts
+    whose fingerprints lie more than three bits apart are found by a prefix-filtered join of what is
+    not linked yet, which loses no pair (``shingle_join``).
+
+    The row of the smallest id stays, one of a null id only where the whole group has null ids; ids may
+    repeat. Texts of equal words are compared once; null, empty and blank ones are one group. All columns
+    stay; an empty table gives an empty table.
     """
-    groups = simhash_groups(df, id_col, text_col)
-    keep = groups.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    kept = df.join(keep, df[id_col] == keep["__id"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.union(df.filter(F.col(id_col).isNull()))
+    join = shingle_join
+    stored = materialize(join.keyed(df, text_col, lambda g: majority(g) if len(g) else 0), "keyed")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
+    leaders = materialize(stored.groupBy("__key").agg(F.min(order).alias("first"), F.min("__print").alias("simhash")).select(F.col("__key").alias("key"), F.col("first.__row").alias("row"), "first", "simhash"), "leaders")
+
+    def grams(batches):
+        for batch in blocks(batches, text_col):
+            got = [join.shingles(w).tobytes() for w in join._words(batch, text_col)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", "grams"])
+
+    def links(pairs):
+        pairs = materialize(pairs, "pairs")
+        nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
+        wanted = leaders.join(nodes, "key", "left_semi").select(F.col("row").alias("__row"))
+        sets = stored.select("__row", "__key", text_col).join(wanted, "__row", "left_semi").mapInArrow(grams, "key long, grams binary")
+        found = materialize(join.verified(pairs, sets), "links")
+        discard(pairs)
+        return found
+
+    # texts whose fingerprints link, as stars: of equal fingerprints to their least key, of linked ones between least keys
+    prints = materialize(leaders.filter("key <> 0").groupBy("simhash").agg(F.min("key").alias("head")), "prints")
+    equal = leaders.join(prints, "simhash").filter("key <> head AND key <> 0").select(F.col("head").alias("u"), F.col("key").alias("v"))
+    keys = materialize(golay_keys(prints), "golay")
+    forest = link_forest(keys)
+    linked = forest.join(prints.select(F.col("simhash").alias("u"), F.col("head").alias("x")), "u").join(prints.select(F.col("simhash").alias("v"), F.col("head").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    found = materialize(join.postings(stored, join.commonness(stored, text_col), text_col), "postings")
+    shared = materialize(join.shared_postings(found), "shared")
+    discard(found)
+    near = links(join.neighbours(shared).union(equal).union(linked).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    discard(keys)
+    # what a few comparisons of each text link is not compared again; the rest is, in full
+    rest = links(join.candidates(shared, connected_components(near)))
+    discard(shared)
+    whole = connected_components(near.union(rest))
+    grouped = leaders.join(whole, leaders["key"] == whole["node"], "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
+    return stored.join(grouped.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(df.columns)

@@ -3,7 +3,7 @@
 import pytest
 from test_others import plain_contamination
 from test_pii import plain as plain_pii
-from test_simhash import components, plain_print
+from test_shingle_join import plain_groups, plain_sets
 
 import corpus_pipeline
 from quillsieve.llm import sentencepiece_topk
@@ -35,7 +35,8 @@ def test_quality_keeps_clean_documents(spark, stages):
 
 def test_one_document_of_each_group_stays(stages):
     rows = sorted((r["doc_id"], r["text"]) for r in stages[1].select("doc_id", "text").collect())
-    label = components([plain_print(t) for _, t in rows])
+    # of all pairs of texts, by the Jaccard similarity of their five-word shingles
+    label = plain_groups(plain_sets([t for _, t in rows]))
     want = {min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in set(label)}
     assert sorted(r["doc_id"] for r in stages[2].select("doc_id").collect()) == sorted(want)
 

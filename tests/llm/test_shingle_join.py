@@ -62,3 +62,21 @@ def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
     got = sorted((r["doc_id"] or -1, r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
     assert got == [(-1, "p q r s t u"), (4, " ".join(long)), (5, "x y z")]
     assert corpus_pipeline.near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_sketches_never_rule_out_more_than_differs():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for n in (5, 90, 300, 700, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            new = rng.integers(0, 1 << 63, max(1, int(1.2 * n * share))).astype(np.uint64)
+            b = np.unique(np.concatenate([a[: int(n * (1 - share))], new]))
+            marks = shingle_join.Sketches(pa.array([shingle_join.parity(a), shingle_join.parity(b)], pa.binary()))
+            differ = len(np.setxor1d(a, b))
+            got = int(marks.apart(np.array([0]), np.array([1]))[0])
+            assert got <= differ and got == int(marks.apart(np.array([1]), np.array([0]))[0])
+            if n <= 300 and share == 1.0:
+                assert got > (n + len(b)) / 9
