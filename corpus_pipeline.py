@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsieve.llm import pii_weak, quality_cnn, sentencepiece_topk, shingle_join, suffix_decontam
-from quillsieve.llm.common import discard, materialize
+from quillsieve.llm import pii_weak, quality_cnn, sentencepiece_topk, simhash_golay, suffix_decontam
+from quillsieve.llm.common import materialize, sweep, written
 from quillsieve.llm.queries import PIECE_MODEL, table
 from quillsieve.session import ship_package
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, of the smallest id, of each group linked by a similarity of 0.8 over five-word shingles."""
     ship_package(spark)
-    return shingle_join.drop_near_duplicates(docs)
+    return simhash_golay.drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for name, stage in STAGES:
-        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        discard(before)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        # all that the stage and those before it have written has served
+        sweep(spark, before, docs)
     return docs
