@@ -2,61 +2,167 @@
 
 from __future__ import annotations
 
-from re import _constants as c
-from re import _parser as parser
+import re
+from functools import lru_cache
 
-LEAST = 3
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+#: Least length of a literal worth testing, a shorter one only where nothing better is there; and most literals of a choice.
+LEAST, MOST = 2, 24
 
+
+@lru_cache(maxsize=4096)
 def required(pattern: str) -> tuple[tuple[str, ...], bool]:
     """Literals of which every match holds one, and whether case counts; none: the pattern has no such literals."""
-    folded = pattern.startswith("(?i)")
-    found = _best(list(parser.parse(pattern[4:] if folded else pattern)))
-    words = tuple(sorted({w.lower() if folded else w for w in found}))
-    if folded:
-        words = tuple(sorted({form for w in words for form in _forms(w)}))
-    return words, not folded
-
-
-def _forms(word: str) -> set[str]:
-    """A lower-case word with each s also as U+017F, which folds to s but is lower case itself."""
-    out = {""}
-    for ch in word:
-        out = {x + form for x in out for form in ("s\u017f" if ch == "s" else ch)}
-    return out
-
-
-def _best(items) -> set[str]:
-    """The choice of literals whose shortest is longest."""
-    choices: list[set[str]] = []
-    run = ""
-    for op, arg in items:
-        if op is c.LITERAL:
-            run += chr(arg)
-            continue
-        if run:
-            choices.append({run})
-            run = ""
-        if op is c.SUBPATTERN:
-            choices.append(_best(list(arg[3])))
-        elif op is c.BRANCH:
-            each = [_best(list(x)) for x in arg[1]]
-            if all(each):
-                choices.append(set().union(*each))
-        elif op in (c.MAX_REPEAT, c.MIN_REPEAT) and arg[0] > 0:
-            choices.append(_best(list(arg[2])))
-    if run:
-        choices.append({run})
-    good = [x for x in choices if x and min(map(len, x)) >= LEAST]
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    folded = bool(flags) and "i" in flags[1]
+    try:
+        whole, best = _Walk(pattern[flags.end() if flags else 0 :]).alternatives()
+    except (ValueError, IndexError):
+        # syntax that the walk does not read: no gate
+        return (), True
+    found = _better([x for x in (whole, best) if x])
+    words = {w.lower() if folded else w for w in found}
+    return tuple(sorted(w for w in words if not any(x in w for x in words - {w}))), not folded
+
+
+def lowered(text: Column) -> Column:
+    """A text as case-blind gates look at it: in lower case, U+017F as the s that it folds to."""
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
+def _better(choices: list[set[str]]) -> set[str]:
+    """The choice of literals whose shortest is longest, of fewer literals on ties."""
+    good = [x for x in choices if min(map(len, x)) >= LEAST]
     return max(good, key=lambda x: (min(map(len, x)), -len(x)), default=set())
 
 
+class _Walk:
+    """Reads a regex; each part is (all its texts, or None if they are many; literals of which each match holds one)."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def here(self, n: int = 1) -> str:
+        return self.text[self.at : self.at + n]
+
+    def alternatives(self) -> tuple[set[str] | None, set[str]]:
+        branches = [self.sequence()]
+        while self.here() == "|":
+            self.at += 1
+            branches.append(self.sequence())
+        if len(branches) == 1:
+            return branches[0]
+        whole = set().union(*[w for w, _ in branches]) if all(w is not None for w, _ in branches) else None
+        each = [_better([x for x in (w, b) if x]) for w, b in branches]
+        best = set().union(*each) if all(each) and sum(map(len, each)) <= MOST else set()
+        return (whole if whole is not None and len(whole) <= MOST else None), best
+
+    def sequence(self) -> tuple[set[str] | None, set[str]]:
+        run, exact, choices = {""}, True, []
+        while self.at < len(self.text) and self.here() not in "|)":
+            texts, best = self.repeated()
+            if texts is not None and len(run) * len(texts) <= MOST:
+                run = {a + b for a in run for b in texts}
+                continue
+            exact = False
+            choices.append(run)
+            run = {""} if texts is None or len(texts) > MOST else texts
+            if best:
+                choices.append(best)
+        choices.append(run)
+        return (run, set()) if exact else (None, _better(choices))
+
+    def repeated(self) -> tuple[set[str] | None, set[str]]:
+        texts, best = self.atom()
+        sign = self.here()
+        if sign not in ("?", "*", "+", "{"):
+            return texts, best
+        least, most = {"?": (0, 1), "*": (0, 0), "+": (1, 0)}.get(sign, (0, 0))
+        self.at += 1
+        if sign == "{":
+            end = self.text.index("}", self.at)
+            least = int(self.text[self.at : end].split(",")[0])
+            self.at = end + 1
+        if self.here() == "?":
+            self.at += 1
+        if sign == "?" and texts is not None and len(texts) == 1:
+            return texts | {""}, set()
+        if least == 0 and most == 0 or sign == "?":
+            return None, set()
+        return None, _better([x for x in (texts, best) if x])
+
+    def atom(self) -> tuple[set[str] | None, set[str]]:
+        c = self.here()
+        self.at += 1
+        if c == "(":
+            if named := re.compile(r"\?(?:P?<[A-Za-z]\w*>|:)").match(self.text, self.at):
+                self.at = named.end()
+            elif self.here() == "?":
+                raise ValueError(f"group of {self.text!r} at {self.at}")
+            out = self.alternatives()
+            self.at += 1
+            return out
+        if c == "[":
+            return self.members(), set()
+        if c in "^$":
+            return {""}, set()
+        if c == ".":
+            return None, set()
+        if c == "\\":
+            c = self.here()
+            self.at += 1
+            if c in "bBAzZ":
+                return {""}, set()
+            if c.isalnum():
+                return ({{"n": "\n", "t": "\t", "r": "\r"}[c]} if c in "ntr" else None), set()
+        return {c}, set()
+
+    def members(self) -> set[str] | None:
+        """The characters of a class, None for many or a negated one."""
+        many = self.here() == "^"
+        out: set[str] = set()
+        first = self.at
+        while self.here() != "]" or self.at == first:
+            c = self.here()
+            self.at += 1
+            if c == "\\":
+                c = self.here()
+                self.at += 1
+                many |= c.isalnum()
+            if self.here() == "-" and self.here(2) != "-]":
+                many = True
+                self.at += 1
+                if self.here() == "\\":
+                    self.at += 1
+                self.at += 1
+            out.add(c)
+        self.at += 1
+        return None if many or len(out) > 4 else out
+
+
 def sql_text(x: str) -> str:
     """A string literal of Spark SQL."""
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def gate_sql(pattern: str, text: str, low: str) -> str:
-    """Whether the column ``text`` can hold a match at all; ``low`` is it in lower case."""
-    words, exact = required(pattern)
-    return " OR ".join(f"contains({text if exact else low}, {sql_text(w)})" for w in words) or "true"
+class Marks:
+    """The literals of some patterns, each looked for once in a text; the array of answers gates every pattern."""
+
+    def __init__(self, patterns, more: tuple[tuple[str, bool], ...] = ()):
+        self.words = sorted({(w, exact) for p in patterns for words, exact in [required(p)] for w in words} | set(more))
+        self.place = {w: k for k, w in enumerate(self.words)}
+
+    def array_sql(self, text: str, low: str) -> str:
+        return f"array({', '.join(f'contains({text if exact else low}, {sql_text(w)})' for w, exact in self.words)})" if self.words else "cast(array() AS array<boolean>)"
+
+    def gate_sql(self, pattern: str, marks: str) -> str:
+        """Whether the text of the array ``marks`` can hold a match of the pattern."""
+        words, exact = required(pattern)
+        return " OR ".join(f"{marks}[{self.place[w, exact]}]" for w in words) or "true"
+
+    def line_sql(self, pattern: str, marks: str, line: str, low: str) -> str:
+        """Whether a line of that text can: what the text lacks is not looked for in its lines."""
+        words, exact = required(pattern)
+        return " OR ".join(f"({marks}[{self.place[w, exact]}] AND contains({line if exact else low}, {sql_text(w)}))" for w in words) or "true"

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as X
+from quillsieve.operators.hits import around, findings, hit, prepared
 from quillsieve.policy import ScanPolicy
-from quillsieve.schemas import FINDING_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -58,12 +58,12 @@ MARKS = {
     "python_multiline_secret": ("'''", '"""', "''\"", "'\"'", "\"''", "'\"\"", "\"'\"", "\"\"'"),
     "ruby_heredoc_secret": ("<<-", "<<~"),
     "php_multiline_secret": ("=>",),
-    "django_db_password": ("'password'", "'paſsword'", "'pasſword'", "'paſſword'"),
+    "django_db_password": ("'password'",),
     "django_secret_key": ("ecret_",),
     "django_env_secret_key": (".environ",),
-    "ruby_database_url": ("database_url", "databaſe_url"),
+    "ruby_database_url": ("database_url",),
     "ruby_config_password": ("word:",),
-    "php_laravel_app_key": ("base64:", "baſe64:"),
+    "php_laravel_app_key": ("base64:",),
     "php_db_config": ("db_",),
     "go_config_password_struct": ("password",),
     "db_url_password": ("://",),
@@ -96,10 +96,9 @@ def _worded(template: str, m: Column) -> Column:
     return F.concat(*parts, F.lit(rest)) if parts else F.lit(rest)
 
 
-def detect_blocks(df: DataFrame, policy: ScanPolicy = ScanPolicy(), blocks: tuple[Block, ...] = BLOCKS) -> DataFrame:
-    """Findings of the whole-text detectors in a table (filename, text, is_deleted, commit_sha1), in one scan of it."""
-    text = F.col("text")
-    marked = df.filter(text.isNotNull()).withColumns({"low": F.lower(text), "config": text.rlike(X.any_of(CONFIG_MARKS))})
+def with_block_hits(rows: DataFrame, policy: ScanPolicy, blocks: tuple[Block, ...] = BLOCKS) -> DataFrame:
+    """Adds the array ``block_hits`` of the whole-text detectors to prepared texts."""
+    marked = rows.withColumn("config", F.col("text").rlike(X.any_of(CONFIG_MARKS)))
     arrays = []
     for rank, block in enumerate(blocks):
         gate = F.col("low").rlike(X.any_of(MARKS[block.pattern_id]))
@@ -108,50 +107,59 @@ def detect_blocks(df: DataFrame, policy: ScanPolicy = ScanPolicy(), blocks: tupl
         if block.pattern_id == "php_multiline_secret":
             path = F.lower("filename")
             gate = gate & ~path.rlike(r"/data/.*paginators-1\.json\.php\z|descriptor_config\.php")
-        groups = max(block.value, 1 if "{1}" in block.description + block.context + block.match else 0, 2 if "{2}" in block.description else 0)
-
-        def made(rank, block):
-            def use(m):
-                return F.struct(
-                    F.lit(rank).alias("rank"),
-                    m["at"].alias("offset"),
-                    m[f"g{block.value}"].alias("value"),
-                    _worded(block.description, m).alias("description"),
-                    (_worded(block.match, m) if block.match else F.left(m[f"g{block.value}"], F.lit(100))).alias("match"),
-                    _worded(block.context, m).alias("context"),
-                )
-
-            return use
-
-        arrays.append(F.when(gate, F.transform(_placed(spans_of(text, block.regex, groups), groups), made(rank, block))))
-    found = marked.withColumn("m", F.explode(F.flatten(F.array_compact(F.array(*arrays))))).select("filename", "text", "is_deleted", "commit_sha1", "m.*")
-    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("rank"))
-    value = F.col("value")
-    if not policy.exhaustive:
-        found = found.filter(~of([b.drop_placeholders for b in blocks]) | ~X.is_placeholder(value))
-    yaml = F.col("rank").isin([i for i, b in enumerate(blocks) if b.pattern_id == "yaml_block_scalar_secret"])
-    measured = F.when(yaml, X.trim(F.regexp_replace(value, r"(?s)\A[^:]*:", ""))).otherwise(value)
-    least = of([b.least_entropy for b in blocks])
-    found = found.filter((~yaml | F.lower("value").rlike(X.any_of(YAML_WORDS))) & ((least == 0) | (X.entropy(measured) >= least)))
-    found = found.withColumn("line", X.line_number(text, F.col("offset")))
-    reason = X.let(X.lines_of(text), lambda ls: X.confidence(F.array_join(X.window_of(ls, F.col("line") - 1, 3), " "), policy.keywords))
-    found = found.withColumn("confidence_adjustment", F.when(of([b.adjust for b in blocks]), reason))
-    severity = of([b.severity for b in blocks])
-    return found.withColumns({"pattern_id": of([b.pattern_id for b in blocks]), "severity": F.when(F.col("confidence_adjustment").isNotNull(), X.lowered(severity)).otherwise(severity), "detector": F.lit("block")}).select(*FINDING_COLUMNS, "detector", "rank")
+        arrays.append(F.when(gate, _block_hits(rank, block, policy)))
+    return marked.withColumn("block_hits", F.flatten(F.array_compact(F.array(*arrays)))).drop("config")
+
+
+def _block_hits(rank: int, block: Block, policy: ScanPolicy) -> Column:
+    groups = max(block.value, 1 if "{1}" in block.description + block.context + block.match else 0, 2 if "{2}" in block.description else 0)
+    value = lambda m: m[f"g{block.value}"]
+
+    def wanted(m):
+        ok = F.lit(True)
+        if block.drop_placeholders and not policy.exhaustive:
+            ok = ~X.is_placeholder(value(m))
+        measured = value(m)
+        if block.pattern_id == "yaml_block_scalar_secret":
+            measured = X.trim(F.regexp_replace(measured, r"(?s)\A[^:]*:", ""))
+            ok = ok & F.lower(value(m)).rlike(X.any_of(YAML_WORDS))
+        return ok & (X.entropy(measured) >= block.least_entropy) if block.least_entropy else ok
+
+    def made(m):
+        return hit(
+            detector=F.lit("block"), rank=F.lit(rank), line=m["line"], pattern_id=F.lit(block.pattern_id), description=_worded(block.description, m), severity=F.lit(block.severity),
+            match=_worded(block.match, m) if block.match else F.left(value(m), F.lit(100)), context=_worded(block.context, m), around=around(F.col("lines"), m["line"] - 1) if block.adjust else F.lit(None),
+        )
+
+    return F.transform(F.filter(_placed(spans_of(F.col("text"), block.regex, groups), groups), wanted), made)
 
 
 def _placed(spans: Column, groups: int) -> Column:
-    """The matches with the code-point offset ``at`` of each."""
+    """The matches with the ``line`` that each is reported at: one more than the lines before its first character.
+
+    What stands before a match is summed up over the matches before it, not read again.
+    """
     names = [f"g{i}" for i in range(groups + 1)]
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    ends = lambda x: F.endswith(x, F.lit("\n"))
 
-    def put(all_):
+    def put(all_, before):
         def place(m, i):
-            before = F.aggregate(F.slice(all_, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["gap"]) + F.length(x["g0"]))
-            return F.struct((before + F.length(m["gap"])).alias("at"), *[m[n].alias(n) for n in names])
+            last = F.get(all_, i - 1)["g0"]
+            # the character before the match is the gap's last one, or without a gap the last match's
+            open_ = F.when(m["gap"] != "", ~ends(m["gap"])).otherwise(F.coalesce(~ends(last), F.lit(False)))
+            line = F.get(before, i) + breaks(m["gap"]) + F.when(open_, 1).otherwise(0) + 1
+            return F.struct(line.cast("int").alias("line"), *[m[n].alias(n) for n in names])
 
         return F.transform(all_, place)
 
-    return X.let(spans, put)
+    count = lambda all_: X.running(F.transform(all_, lambda m: breaks(m["gap"]) + breaks(m["g0"])), lambda a, x: a + x, F.lit(0))
+    return X.let(spans, lambda all_: X.let(count(all_), lambda before: put(all_, before)))
+
+
+def detect_blocks(df: DataFrame, policy: ScanPolicy = ScanPolicy(), blocks: tuple[Block, ...] = BLOCKS) -> DataFrame:
+    """Findings of the whole-text detectors in a table (filename, text, is_deleted, commit_sha1), in one scan of it."""
+    return findings(with_block_hits(prepared(df), policy, blocks), [F.col("block_hits")], policy)
 
 
 # Line shapes of YAML keys.
@@ -161,47 +169,63 @@ YAML_ANCHOR = r"^\s*([a-z][a-z0-9_]{2,})\s*:\s*&\s*([a-z_]+)\s*\z"
 YAML_KEY = r"^\s*([a-z][a-z0-9_]{2,})\s*:\s*(?:\||>|\s*)?\z"
 
 
+#: Code points of a block scalar that are kept; so many lines hold them all, as each has one and a space.
+SCALAR = 120
+
+
+def with_yaml_hits(rows: DataFrame, policy: ScanPolicy) -> DataFrame:
+    """Adds the array ``yaml_hits``: at YAML keys block scalars, inline values, anchors and values on the next line, the first that fits."""
+    one = lambda line, regex, g: F.regexp_extract(line, "(?Ud)" + regex, g)
+    shapes = (("scalar", YAML_SCALAR), ("inline", YAML_INLINE), ("anchor", YAML_ANCHOR), ("next", YAML_KEY))
+
+    def shape(line):
+        kind = F.lit(None).cast("string")
+        for name, regex in reversed(shapes):
+            kind = F.when(line.rlike("(?Ud)" + regex), name).otherwise(kind)
+        return kind
+
+    numbered = F.transform("lines", lambda line, at: F.struct(line.alias("line"), at.alias("at")))
+    keyed = F.filter(F.transform(F.filter(numbered, lambda x: F.contains(x["line"], F.lit(":"))), lambda x: F.struct(x["line"].alias("line"), x["at"].alias("at"), shape(x["line"]).alias("kind"))), lambda x: x["kind"].isNotNull())
+    shaped = rows.withColumn("keys", F.when(F.contains("text", F.lit(":")), keyed))
+    # Lines that are neither blank nor comments, and how many of them stand before each line: a scalar's lines are a slice of them.
+    trimmed = F.transform("lines", X.trim)
+    is_solid = lambda x: (x != "") & ~F.startswith(x, F.lit("#"))
+    some = F.exists(F.coalesce("keys", F.array().cast("array<struct<line:string,at:int,kind:string>>")), lambda x: x["kind"] == "scalar")
+    shaped = shaped.withColumn("solid", F.when(some, F.filter(trimmed, is_solid))).withColumn("before", F.when(some, X.running(F.transform(trimmed, lambda x: F.when(is_solid(x), 1).otherwise(0)), lambda a, x: a + x, F.lit(0))))
+
+    def scalar(x, mark):
+        # the scalar's own key line ends with a mark, so it is solid itself
+        rest = F.slice("solid", F.get("before", x["at"]) + 2, F.lit(SCALAR // 2 + 1))
+        ends = F.filter(F.transform(rest, lambda y, i: F.when(F.endswith(y, F.lit(":")) & ~F.startswith(y, F.lit("-")), i)), lambda i: i.isNotNull())
+        body = F.slice(rest, F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.size(rest)))
+        return F.left(F.array_join(F.when(mark == "|", F.slice(body, 1, 1)).otherwise(body), " "), F.lit(SCALAR))
+
+    def read(x):
+        line, kind = x["line"], x["kind"]
+        key = F.when(kind == "scalar", one(line, YAML_SCALAR, 1)).when(kind == "inline", one(line, YAML_INLINE, 1)).when(kind == "anchor", one(line, YAML_ANCHOR, 1)).otherwise(one(line, YAML_KEY, 1))
+        mark = one(line, YAML_SCALAR, 2)
+        after = X.trim(F.get("lines", x["at"] + 1))
+        value = F.when(kind == "scalar", scalar(x, mark)).when(kind == "inline", one(line, YAML_INLINE, 2)).when(~F.startswith(after, F.lit("#")), after)
+        return F.struct(x["at"].alias("at"), kind.alias("kind"), key.alias("key"), mark.alias("mark"), one(line, YAML_ANCHOR, 2).alias("anchor"), value.alias("value"))
+
+    def wanted(x):
+        ok = (F.octet_length(x["value"]) >= 8) & (X.entropy(x["value"]) >= 2.5)
+        return ok if policy.exhaustive else ok & X.is_secret_key(x["key"]) & ~X.is_placeholder(x["value"])
+
+    def made(x):
+        k, key, value, anchor = x["kind"], x["key"], x["value"], x["anchor"]
+        short = F.left(value, F.lit(80))
+        pick = lambda a, b, c, d: F.when(k == "scalar", a).when(k == "inline", b).when(k == "anchor", c).otherwise(d)
+        return hit(
+            detector=F.lit("yaml"), rank=F.lit(0), line=x["at"] + 1, severity=F.lit("HIGH"), match=value, around=around(F.col("lines"), x["at"]),
+            pattern_id=pick(F.lit("yaml_block_scalar_secret"), F.lit("yaml_inline_secret"), F.lit("yaml_anchor_secret"), F.lit("yaml_nextline_secret")),
+            description=pick(F.format_string("YAML block scalar secret (key: %s)", key), F.format_string("YAML inline secret (key: %s)", key), F.format_string("YAML anchor secret (key: %s, anchor: &%s)", key, anchor), F.format_string("YAML next-line secret (key: %s)", key)),
+            context=pick(F.concat(key, F.lit(": "), x["mark"], F.lit(" | "), value), F.concat(key, F.lit(": "), short), F.concat(key, F.lit(": &"), anchor, F.lit(" -> "), value), F.concat(key, F.lit(": | "), short)),
+        )
+
+    return shaped.withColumn("yaml_hits", F.transform(F.filter(F.transform("keys", read), wanted), made)).drop("keys", "solid", "before")
+
+
 def detect_yaml(df: DataFrame, policy: ScanPolicy = ScanPolicy()) -> DataFrame:
-    """Findings at YAML keys: block scalars, inline values, anchors and values on the next line, the first that fits."""
-    lines = df.filter(F.contains("text", F.lit(":"))).withColumn("lines", X.lines_of(F.col("text"))).select("*", F.posexplode("lines").alias("at", "line_text"))
-    line = F.col("line_text")
-    shaped = lines.filter(F.contains(line, F.lit(":")))
-    kind = F.lit(None).cast("string")
-    for name, regex in reversed((("scalar", YAML_SCALAR), ("inline", YAML_INLINE), ("anchor", YAML_ANCHOR), ("next", YAML_KEY))):
-        kind = F.when(line.rlike("(?Ud)" + regex), name).otherwise(kind)
-    shaped = shaped.withColumn("kind", kind).filter("kind IS NOT NULL")
-    one = lambda regex, g: F.regexp_extract(line, "(?Ud)" + regex, g)
-    key = F.when(F.col("kind") == "scalar", one(YAML_SCALAR, 1)).when(F.col("kind") == "inline", one(YAML_INLINE, 1)).when(F.col("kind") == "anchor", one(YAML_ANCHOR, 1)).otherwise(one(YAML_KEY, 1))
-    after = X.trim(F.get("lines", F.col("at") + 1))
-    mark = one(YAML_SCALAR, 2)
-    # What follows a scalar: comments and blanks skipped, up to the next key; a literal takes one line.
-    rest = F.filter(F.transform(F.slice("lines", F.col("at") + 2, F.greatest(F.size("lines") - F.col("at") - 1, F.lit(0))), X.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
-    ends = F.filter(F.transform(rest, lambda x, i: F.when(F.endswith(x, F.lit(":")) & ~F.startswith(x, F.lit("-")), i)), lambda i: i.isNotNull())
-    body = F.slice(rest, F.lit(1), F.coalesce(F.get(ends, F.lit(0)), F.size(rest)))
-    scalar = F.left(F.array_join(F.when(mark == "|", F.slice(body, 1, 1)).otherwise(body), " "), F.lit(120))
-    value = F.when(F.col("kind") == "scalar", scalar).when(F.col("kind") == "inline", one(YAML_INLINE, 2)).when(~F.startswith(after, F.lit("#")), after)
-    # exploded, so that what follows reads the values instead of working them out again
-    rows = shaped.withColumn("v", F.explode(F.array(F.struct(key.alias("key"), value.alias("value"), mark.alias("mark"), one(YAML_ANCHOR, 2).alias("anchor")))))
-    rows = rows.select("filename", "is_deleted", "commit_sha1", "lines", "at", "kind", "v.*").filter((F.octet_length("value") >= 8) & (X.entropy(F.col("value")) >= 2.5))
-    if not policy.exhaustive:
-        rows = rows.filter(X.is_secret_key(F.col("key")) & ~X.is_placeholder(F.col("value")))
-    k = F.col("kind")
-    anchor, mark = F.col("anchor"), F.col("mark")
-    short = F.left("value", F.lit(80))
-    pick = lambda a, b, c, d: F.when(k == "scalar", a).when(k == "inline", b).when(k == "anchor", c).otherwise(d)
-    rows = rows.withColumn("reason", X.confidence(F.array_join(X.window_of(F.col("lines"), F.col("at"), 3), " "), policy.keywords))
-    reason = F.col("reason")
-    return rows.select(
-        "filename",
-        (F.col("at") + 1).cast("int").alias("line"),
-        pick(F.lit("yaml_block_scalar_secret"), F.lit("yaml_inline_secret"), F.lit("yaml_anchor_secret"), F.lit("yaml_nextline_secret")).alias("pattern_id"),
-        pick(F.format_string("YAML block scalar secret (key: %s)", "key"), F.format_string("YAML inline secret (key: %s)", "key"), F.format_string("YAML anchor secret (key: %s, anchor: &%s)", "key", anchor), F.format_string("YAML next-line secret (key: %s)", "key")).alias("description"),
-        F.when(reason.isNotNull(), "MEDIUM").otherwise("HIGH").alias("severity"),
-        F.col("value").alias("match"),
-        pick(F.concat("key", F.lit(": "), mark, F.lit(" | "), "value"), F.concat("key", F.lit(": "), short), F.concat("key", F.lit(": &"), anchor, F.lit(" -> "), "value"), F.concat("key", F.lit(": | "), short)).alias("context"),
-        "is_deleted",
-        "commit_sha1",
-        reason.alias("confidence_adjustment"),
-        F.lit("yaml").alias("detector"),
-        F.lit(0).alias("rank"),
-    ).select(*FINDING_COLUMNS, "detector", "rank")
+    """Findings at YAML keys; see ``with_yaml_hits``."""
+    return findings(with_yaml_hits(prepared(df), policy), [F.col("yaml_hits")], policy)

@@ -6,38 +6,91 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions import text as X
-from quillsieve.functions.gates import gate_sql, sql_text
-from quillsieve.patterns import ENTROPY_VALUE, ENTROPY_WORD, LINE_PATTERNS
+from quillsieve.functions.gates import Marks, lowered, sql_text
+from quillsieve.operators.hits import around, findings, hit, prepared
+from quillsieve.patterns import ENTROPY_VALUE, ENTROPY_WORD, ENTROPY_WORDS, LINE_PATTERNS
 from quillsieve.policy import ScanPolicy
-from quillsieve.schemas import FINDING_COLUMNS
 
-HIT = "array<struct<rank:int,pattern_id:string,description:string,severity:string,match:string>>"
+MATCH = "array<struct<rank:int,pattern_id:string,description:string,severity:string,match:string>>"
 
 
-def pattern_hits(line: str, low: str, patterns) -> Column:
-    """All matches of the patterns in a column of lines: each regex runs only behind the literals that its matches hold.
+def pattern_hits(marks: Marks, row: str, patterns) -> str:
+    """SQL of all matches of the patterns in a row (line, low) of a text with the answers ``marks``.
 
-    Written as one SQL expression: over a hundred patterns are cheaper to parse than to build call by call.
+    Each regex runs only behind the literals that its matches hold, first of the text and then of the
+    line. Written as one SQL expression: over a hundred patterns are cheaper to parse than to build call by call.
     """
     parts = []
     for rank, (pid, severity, description, regex) in enumerate(patterns):
-        found = f"regexp_extract_all({line}, {sql_text(X.java_regex(regex))}, 0)"
-        hit = f"named_struct('rank', {rank}, 'pattern_id', {sql_text(pid)}, 'description', {sql_text(description)}, 'severity', {sql_text(severity)}, 'match', m)"
-        parts.append(f"CASE WHEN {gate_sql(regex, line, low)} THEN transform({found}, m -> {hit}) END")
-    return F.expr(f"flatten(array_compact(array({', '.join(parts)})))") if parts else F.array().cast(HIT)
+        found = f"regexp_extract_all({row}.line, {sql_text(X.java_regex(regex))}, 0)"
+        made = f"named_struct('rank', {rank}, 'pattern_id', {sql_text(pid)}, 'description', {sql_text(description)}, 'severity', {sql_text(severity)}, 'match', m)"
+        parts.append(f"CASE WHEN {marks.line_sql(regex, 'marks', f'{row}.line', f'{row}.low')} THEN transform({found}, m -> {made}) END")
+    return f"flatten(array_compact(array({', '.join(parts)})))" if parts else f"cast(array() AS {MATCH})"
 
 
 def numbered_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``lines`` and, exploded from it, the zero-based ``at`` and ``line``; texts without lines give no row."""
-    whole = df.withColumn("lines", X.lines_of(F.col(text_col)))
-    return whole.select("*", F.posexplode("lines").alias("at", "line"))
+    """Adds the zero-based ``at`` and ``line`` of each line; texts without lines give no row."""
+    return df.select("*", F.posexplode(X.lines_of(F.col(text_col))).alias("at", "line"))
 
 
-def _finish(found: DataFrame, policy: ScanPolicy) -> DataFrame:
-    """Context text and confidence of findings that know their ``lines`` and ``at``."""
-    reason = X.confidence(F.array_join(X.window_of(F.col("lines"), F.col("at"), 3), " "), policy.keywords)
-    out = found.withColumn("confidence_adjustment", reason)
-    return out.withColumns({"severity": F.when(F.col("confidence_adjustment").isNotNull(), X.lowered(F.col("severity"))).otherwise(F.col("severity")), "line": (F.col("at") + 1).cast("int")}).select(*FINDING_COLUMNS, F.lit("line").alias("detector"), "rank")
+def with_line_hits(rows: DataFrame, policy: ScanPolicy, custom: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
+    """Adds the array ``line_hits`` to prepared texts.
+
+    A text without any of the patterns' literals costs one search for each literal. Of others the short
+    enough lines are tried, and only what is found in a line leaves it.
+    """
+    own = [*LINE_PATTERNS, *custom]
+    gates = Marks([p[3] for p in own])
+    quoted = F.col("text").rlike("['\"]") & F.col("low").rlike(X.any_of(ENTROPY_WORDS))
+    every = "true" if any(gates.gate_sql(p[3], "marks") == "true" for p in own) else "exists(marks, x -> x)"
+    # looked for inside a lambda: some two hundred searches written out would be too large to be compiled
+    marked = rows.withColumn("marks", F.expr(f"transform(array(text), t -> {gates.array_sql('t', 'low')})[0]")).withColumn("quoted", quoted)
+    short = F.filter(F.transform("lines", lambda line, at: F.struct(at.alias("at"), line.alias("line"), lowered(line).alias("low"))), lambda r: F.octet_length(r["line"]) <= policy.max_line_bytes)
+    cut = marked.withColumn("short", F.when(F.col("quoted") | F.expr(every), short))
+    tried = cut.withColumn("tried", F.expr(f"transform(short, r -> named_struct('at', r.at, 'line', r.line, 'matches', CASE WHEN {every} THEN {pattern_hits(gates, 'r', own)} ELSE cast(array() AS {MATCH}) END))"))
+    if not policy.exhaustive:
+        tried = tried.withColumn("tried", F.transform("tried", lambda r: F.struct(r["at"], r["line"], F.filter(r["matches"], lambda m: ~X.is_placeholder(m["match"])).alias("matches"))))
+
+    def dense(line):
+        scored = F.transform(F.regexp_extract_all(line, F.lit(ENTROPY_VALUE), F.lit(1)), lambda v: F.struct(v.alias("match"), X.entropy(v).alias("bits")))
+        kept = F.filter(scored, lambda s: s["bits"] >= policy.entropy_threshold)
+        if not policy.exhaustive:
+            kept = F.filter(kept, lambda s: ~X.is_placeholder(s["match"]) & ~X.is_code_asset(s["match"]))
+        return F.transform(kept, lambda s: F.struct(F.lit(len(own)).alias("rank"), F.lit("high_entropy_secret").alias("pattern_id"), F.format_string("High-entropy secret (%.2f bits/char)", s["bits"]).alias("description"), F.lit("HIGH").alias("severity"), s["match"].alias("match")))
+
+    none = F.expr(f"cast(array() AS {MATCH})")
+    lone = lambda r: (F.size(r["matches"]) == 0) & F.col("quoted") & r["line"].rlike("['\"]") & r["line"].rlike(X.java_regex(ENTROPY_WORD))
+    found = F.transform("tried", lambda r: F.struct(r["at"].alias("at"), F.concat(r["matches"], F.when(lone(r), dense(r["line"])).otherwise(none)).alias("matches")))
+    kept = tried.withColumn("found", F.filter(found, lambda r: F.size(r["matches"]) > 0))
+
+    def made(r):
+        near, wide = X.context_text(F.col("lines"), r["at"]), around(F.col("lines"), r["at"])
+        return X.let(F.struct(near.alias("near"), wide.alias("wide")), lambda w: F.transform(r["matches"], lambda m: hit(detector=F.lit("line"), rank=m["rank"], line=r["at"] + 1, pattern_id=m["pattern_id"], description=m["description"], severity=m["severity"], match=m["match"], context=w["near"], around=w["wide"])))
+
+    return kept.withColumn("line_hits", F.flatten(F.transform("found", made))).drop("quoted", "short", "tried", "found")
+
+
+def with_segment_hits(rows: DataFrame, policy: ScanPolicy) -> DataFrame:
+    """Adds the array ``segment_hits`` to texts : hits in the segments of minified lines of JavaScript-family files.
+
+    Placeholders are always dropped. Of a line the first 200 segments count.
+    """
+    gates = Marks([p[3] for p in LINE_PATTERNS])
+    script = F.substring_index("filename", ".", -1).isin("js", "ts", "jsx", "tsx", "mjs", "cjs")
+    long_ = F.filter(F.transform("lines", lambda line, at: F.struct(at.alias("at"), line.alias("line"))), lambda r: F.octet_length(r["line"]).between(policy.max_line_bytes + 1, policy.max_minified_bytes))
+    parts = lambda r: F.transform(F.slice(F.split(r["line"], "[;{},]", -1), 1, 200), lambda s: X.let(X.trim(s), lambda x: F.struct(r["at"].alias("at"), x.alias("line"), lowered(x).alias("low"))))
+    cut = rows.withColumn("marks", F.expr(f"transform(array(text), t -> {gates.array_sql('t', 'low')})[0]")).withColumn("segments", F.when(script, F.filter(F.flatten(F.transform(long_, parts)), lambda s: F.octet_length(s["line"]).between(10, 2000))))
+    tried = cut.withColumn("cut", F.expr(f"transform(segments, r -> named_struct('at', r.at, 'line', r.line, 'matches', {pattern_hits(gates, 'r', LINE_PATTERNS)}))"))
+
+    def made(r):
+        kept = F.filter(r["matches"], lambda m: ~X.is_placeholder(m["match"]))
+        # what the lines around say replaces what the segment says; each lowers the severity
+        why = X.confidence(r["line"], policy.keywords)
+        lower = lambda m, w: F.when(w.isNotNull(), X.lowered(m["severity"])).otherwise(m["severity"])
+        one = lambda m, w: hit(detector=F.lit("segment"), rank=m["rank"], line=r["at"] + 1, pattern_id=m["pattern_id"], description=m["description"], severity=lower(m, w), match=m["match"], context=F.concat(F.lit("[minified] "), F.left(r["line"], F.lit(200))), around=around(F.col("lines"), r["at"]), note=F.concat(F.lit("[minified] "), w))
+        return X.let(why, lambda w: F.transform(kept, lambda m: one(m, w)))
+
+    return tried.withColumn("segment_hits", F.flatten(F.transform(F.filter("cut", lambda r: F.size(r["matches"]) > 0), made))).drop("segments", "cut")
 
 
 def detect_lines(df: DataFrame, policy: ScanPolicy = ScanPolicy(), custom: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
@@ -46,35 +99,10 @@ def detect_lines(df: DataFrame, policy: ScanPolicy = ScanPolicy(), custom: tuple
     Lines over ``max_line_bytes`` are skipped here (see ``detect_segments``). Entropy findings come only
     from lines without a pattern hit. Null and empty texts have no lines.
     """
-    lines = numbered_lines(df).filter(F.octet_length("line") <= policy.max_line_bytes)
-    own = [(pid, severity, description, regex) for pid, severity, description, regex in custom]
-    scanned = lines.withColumn("low", F.lower("line")).withColumn("hits", pattern_hits("line", "low", [*LINE_PATTERNS, *own]))
-    if not policy.exhaustive:
-        scanned = scanned.withColumn("hits", F.filter("hits", lambda h: ~X.is_placeholder(h["match"])))
-    values = F.when((F.size("hits") == 0) & F.col("line").rlike(X.java_regex(ENTROPY_WORD)), F.regexp_extract_all(F.col("line"), F.lit(ENTROPY_VALUE), F.lit(1)))
-    scored = F.transform(values, lambda v: F.struct(v.alias("match"), X.entropy(v).alias("bits")))
-    kept = F.filter(scored, lambda s: s["bits"] >= policy.entropy_threshold)
-    if not policy.exhaustive:
-        kept = F.filter(kept, lambda s: ~X.is_placeholder(s["match"]) & ~X.is_code_asset(s["match"]))
-    rank = len(LINE_PATTERNS) + len(own)
-    dense = F.transform(kept, lambda s: F.struct(F.lit(rank).alias("rank"), F.lit("high_entropy_secret").alias("pattern_id"), F.format_string("High-entropy secret (%.2f bits/char)", s["bits"]).alias("description"), F.lit("HIGH").alias("severity"), s["match"].alias("match")))
-    found = scanned.withColumn("h", F.explode(F.concat("hits", F.coalesce(dense, F.array().cast(HIT)))))
-    found = found.select("filename", "is_deleted", "commit_sha1", "lines", "at", "h.*").withColumn("context", X.context_text(F.col("lines"), F.col("at")))
-    return _finish(found, policy)
+    rows = with_line_hits(prepared(df), policy, custom)
+    return findings(rows, [F.col("line_hits")], policy)
 
 
 def detect_segments(df: DataFrame, policy: ScanPolicy = ScanPolicy()) -> DataFrame:
-    """Findings in the segments of minified lines of JavaScript-family files; placeholders are always dropped."""
-    script = F.substring_index("filename", ".", -1).isin("js", "ts", "jsx", "tsx", "mjs", "cjs")
-    lines = numbered_lines(df.filter(script)).filter(F.octet_length("line").between(policy.max_line_bytes + 1, policy.max_minified_bytes))
-    cut = lines.withColumn("segment", F.explode(F.transform(F.slice(F.split("line", "[;{},]", -1), 1, 200), X.trim))).filter(F.octet_length("segment").between(10, 2000))
-    found = cut.withColumn("low", F.lower("segment")).withColumn("h", F.explode(pattern_hits("segment", "low", LINE_PATTERNS))).filter(~X.is_placeholder(F.col("h.match")))
-    reason = X.confidence(F.col("segment"), policy.keywords)
-    out = found.withColumns({"severity": F.when(reason.isNotNull(), X.lowered(F.col("h.severity"))).otherwise(F.col("h.severity")), "context": F.concat(F.lit("[minified] "), F.left("segment", F.lit(200)))})
-    # the lines around it are looked at as for any finding, and what they say replaces the segment's reason
-    around = X.confidence(F.array_join(X.window_of(F.col("lines"), F.col("at"), 3), " "), policy.keywords)
-    out = out.withColumn("around", around).select(
-        "filename", "is_deleted", "commit_sha1", (F.col("at") + 1).cast("int").alias("line"), "h.rank", "h.pattern_id", "h.description", "h.match", "context",
-        F.when(F.col("around").isNotNull(), X.lowered(F.col("severity"))).otherwise(F.col("severity")).alias("severity"), F.coalesce("around", F.concat(F.lit("[minified] "), reason)).alias("confidence_adjustment"),
-    )
-    return out.select(*FINDING_COLUMNS, F.lit("segment").alias("detector"), "rank")
+    """Findings in the segments of minified lines of JavaScript-family files; see ``with_segment_hits``."""
+    return findings(with_segment_hits(prepared(df), policy), [F.col("segment_hits")], policy)

@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.functions.paths import ai_kind, of_kind
-from quillsieve.operators.blocks import detect_blocks, detect_yaml
-from quillsieve.operators.lines import detect_lines, detect_segments
+from quillsieve.operators.blocks import with_block_hits, with_yaml_hits
+from quillsieve.operators.hits import findings, hit, prepared
+from quillsieve.operators.lines import with_line_hits, with_segment_hits
 from quillsieve.policy import ScanPolicy
 from quillsieve.schemas import FINDING_COLUMNS
 
 
+def path_hits(filename: Column) -> Column:
+    """The one hit of a file at a path of an AI tool; null for others."""
+    kind = ai_kind(filename)
+    one = lambda k: hit(detector=F.lit("path"), rank=F.lit(0), line=F.lit(1), pattern_id=F.concat(F.lit("ai_path_"), k), description=of_kind(k, 2), severity=of_kind(k, 3), match=filename, context=F.concat(F.lit("ai_path_category="), k, F.lit("_path")))
+    return F.when(kind.isNotNull(), F.transform(F.array(kind), one))
+
+
 def detect_ai_paths(df: DataFrame) -> DataFrame:
     """One finding for each file at a path of an AI tool."""
-    kind = ai_kind(F.col("filename"))
-    rows = df.withColumn("kind", kind).filter("kind IS NOT NULL")
-    return rows.select(
-        "filename", F.lit(1).alias("line"), F.concat(F.lit("ai_path_"), "kind").alias("pattern_id"), of_kind(F.col("kind"), 2).alias("description"), of_kind(F.col("kind"), 3).alias("severity"), F.col("filename").alias("match"),
-        F.concat(F.lit("ai_path_category="), "kind", F.lit("_path")).alias("context"), "is_deleted", "commit_sha1", F.lit(None).cast("string").alias("confidence_adjustment"), F.lit("path").alias("detector"), F.lit(0).alias("rank"),
-    )
+    return findings(df, [path_hits(F.col("filename"))], ScanPolicy())
 
 
 def scan_text(files: DataFrame, policy: ScanPolicy = ScanPolicy(), custom: tuple = ()) -> DataFrame:
     """All findings in a table (filename, text, is_deleted, commit_sha1): every detector on every text within the size limit.
 
-    Null texts have no findings but those of their path. Each detector is a projection, an explode and
-    a filter over the same scan: nothing shuffles.
+    Null texts have no findings but those of their path. The texts are read once: each detector adds an
+    array of hits to its row, and one explode makes findings of them all. Nothing shuffles, but for an
+    input of fewer parts than cores.
     """
     whole = files.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= policy.max_blob_bytes)
-    parts = [detect_ai_paths(whole), detect_lines(whole, policy, custom), detect_segments(whole, policy), detect_blocks(whole, policy), detect_yaml(whole, policy)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select(*FINDING_COLUMNS)
+    rows = with_line_hits(prepared(whole), policy, custom)
+    rows = with_yaml_hits(with_block_hits(with_segment_hits(rows, policy), policy), policy)
+    return findings(rows, [path_hits(F.col("filename")), *[F.col(f"{d}_hits") for d in ("line", "segment", "block", "yaml")]], policy).select(*FINDING_COLUMNS)
 
 
 def as_files(df: DataFrame, name, text: str = "text") -> DataFrame:
