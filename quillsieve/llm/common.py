@@ -112,6 +112,11 @@ def discard(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the shuffle files deleted that no plan needs: they go when the driver's garbage collector finds so."""
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

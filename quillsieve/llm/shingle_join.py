@@ -155,6 +155,8 @@ def commonness(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 def postings(texts: DataFrame, level: np.ndarray, text_col: str = "text") -> DataFrame:
     """(token, key, n, pos, sketch): the first shingles of each text in the order of their commonness, n of all its shingles.
 
+    The sketch stands in the row of the first one only.
+
     Two sets of which the larger has n shingles share NEAR / OF of n at least, so each holds one of the
     common shingles among its first n - ceil(n * NEAR / OF) + 1.
     """
@@ -164,8 +166,9 @@ def postings(texts: DataFrame, level: np.ndarray, text_col: str = "text") -> Dat
         held, marks, rows = [], [], 0
 
         def batch():
-            sketch = pa.array(marks, pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
-            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in zip(*held)], sketch], names=["token", "key", "n", "pos", "sketch"])
+            sketch = np.full(sum(len(h[0]) for h in held), None, object)
+            sketch[np.cumsum([0] + [len(h[0]) for h in held[:-1]])] = marks
+            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in zip(*held)], pa.array(sketch, pa.binary())], names=["token", "key", "n", "pos", "sketch"])
 
         for key, g in _new_texts(batches, text_col):
             n = len(g)
@@ -187,7 +190,7 @@ def shared_postings(found: DataFrame) -> DataFrame:
     """The postings of tokens that stand in two rows or more, with their number c."""
     # counted apart, so that a join on a frequent token can be split
     counts = materialize(found.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "tokens")
-    return found.join(counts, "token")
+    return found.select("token", "key", "n", "pos").join(counts, "token")
 
 
 def _may_link(key, n, pos, sketches, a, b) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +200,8 @@ def _may_link(key, n, pos, sketches, a, b) -> tuple[np.ndarray, np.ndarray]:
     rest = np.minimum(na - pos[a], nb - pos[b])
     ok = (key[a] != key[b]) & (OF * np.minimum(na, nb) >= NEAR * np.maximum(na, nb)) & ((NEAR + OF) * rest >= NEAR * (na + nb))
     a, b = a[ok], b[ok]
+    if sketches is None:
+        return a, b
     # similar sets have at most this share of their shingles in one of them alone
     ok = np.ones(len(a), bool)
     for lo in range(0, len(a), 1 << 16):
@@ -216,18 +221,17 @@ def neighbours(shared: DataFrame) -> DataFrame:
     Their number grows with the postings, not with the square of a bucket; what they link need not be paired again.
     """
     parts = F.ceil(F.col("c") / TILE).cast("int")
-    dealt = shared.select("token", F.pmod(F.xxhash64("key"), parts).cast("int").alias("i"), F.xxhash64("token", "key").alias("at"), "key", "n", "pos", "sketch")
+    dealt = shared.select("token", F.pmod(F.xxhash64("key"), parts).cast("int").alias("i"), F.xxhash64("token", "key").alias("at"), "key", "n", "pos")
     dealt = dealt.repartition("token", "i").sortWithinPartitions("token", "i", "at")
 
     def run(batches):
         for table, head in runs(batches, 2):
             key, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "pos"))
-            sketches = Sketches(table.column("sketch"))
             bucket = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
             us, vs = [], []
             for step in range(1, min(NEXT, len(key) - 1) + 1):
                 a = np.flatnonzero(bucket[step:] == bucket[:-step])
-                a, b = _may_link(key, n, pos, sketches, a, a + step)
+                a, b = _may_link(key, n, pos, None, a, a + step)
                 us.append(key[a])
                 vs.append(key[b])
             if us and sum(map(len, us)):
@@ -236,12 +240,20 @@ def neighbours(shared: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def candidates(shared: DataFrame, linked: DataFrame) -> DataFrame:
-    """Distinct (u, v), u < v, of texts that share a token, are not linked yet (node, component) and are not ruled out.
+def unsettled(shared: DataFrame, linked: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The postings of tokens that texts of different components (node, component) share, with component and sketch (key, sketch)."""
+    placed = shared.join(linked, shared["key"] == linked["node"], "left").drop("node").withColumn("component", F.coalesce("component", "key"))
+    placed = materialize(placed, "placed")
+    mixed = materialize(placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token"), "mixed")
+    return placed.join(mixed, "token", "left_semi").join(sketches, "key")
+
+
+def candidates(open_: DataFrame) -> DataFrame:
+    """Distinct (u, v), u < v, of texts that share a token, are not linked yet and are not ruled out.
 
     A bucket of over TILE rows is cut into parts; each part meets each in a tile of its own.
     """
-    dealt = shared.join(linked, shared["key"] == linked["node"], "left").withColumn("component", F.coalesce("component", "key")).withColumn("parts", F.ceil(F.col("c") / TILE).cast("int"))
+    dealt = open_.withColumn("parts", F.ceil(F.col("c") / TILE).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "pos", "component", "sketch")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm import shingle_join
-from quillsieve.llm.common import blocks, discard, extend, field, materialize, text_bytes, with_columns
+from quillsieve.llm.common import blocks, discard, extend, field, let_go, materialize, text_bytes, with_columns
 from quillsieve.llm.components import connected_components
 from quillsieve.llm.tiles import deal, forest, runs
 
@@ -267,13 +267,18 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     forest = link_forest(keys)
     linked = forest.join(prints.select(F.col("simhash").alias("u"), F.col("head").alias("x")), "u").join(prints.select(F.col("simhash").alias("v"), F.col("head").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
     found = materialize(join.postings(stored, join.commonness(stored, text_col), text_col), "postings")
+    let_go(df.sparkSession)
+    sketches = materialize(found.filter("pos = 0").groupBy("key").agg(F.min("sketch").alias("sketch")), "sketches")
     shared = materialize(join.shared_postings(found), "shared")
     discard(found)
+    let_go(df.sparkSession)
     near = links(join.neighbours(shared).union(equal).union(linked).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     discard(keys)
     # what a few comparisons of each text link is not compared again; the rest is, in full
-    rest = links(join.candidates(shared, connected_components(near)))
+    open_ = materialize(join.unsettled(shared, connected_components(near), sketches), "unsettled")
     discard(shared)
+    rest = links(join.candidates(open_))
+    discard(open_)
     whole = connected_components(near.union(rest))
     grouped = leaders.join(whole, leaders["key"] == whole["node"], "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
     return stored.join(grouped.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(df.columns)
