@@ -8,15 +8,33 @@ from pyspark.sql import functions as F
 from quillsieve.llm.common import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: From this many edges on, joins on a node of over HUB edges are dealt over several tasks.
+SPLIT, HUB = 1 << 20, 1 << 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame, split: bool) -> DataFrame:
+    """The edges (u, v) with the least m of u, given (u, m, n) with the number n of u's edges.
+
+    A hub has one row in ``least`` and ever so many edges: these are dealt by their other end, and the
+    row goes to each part. Hubs are a 1 / HUB of the edges at most, so their list can go everywhere.
+    """
+    if not split:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(least.filter(F.col("n") > HUB).select("u", F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
+    dealt = edges.join(hubs, "u", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("v"), F.col("parts"))).otherwise(F.lit(0)).cast("int")).drop("parts")
+    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / HUB), F.lit(1)).cast("int") - 1)
+    return dealt.join(least.select("u", "m", F.explode(F.when(F.col("n") > HUB, parts).otherwise(F.array(F.lit(0)))).alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
+def _star(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     """One large-star or small-star step over directed pairs (u > v)."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        out = _with_least(both.filter("v > u"), least, split).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(least, "u")
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(edges, least, split)
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()
 
@@ -25,13 +43,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that occurs in ``edges`` (u, v); component is the least node reachable.
 
     Large-star and small-star steps alternate until the edge set stands still; each step is a
-    min-aggregation and an equi-join, so no group is ever gathered in one task. Self-loops and
+    min-aggregation and an equi-join, and a hub's edges are dealt over several tasks. Self-loops and
     nulls are ignored: a node seen only in them is not returned. Empty edges give an empty table.
     """
     now = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
+    split = now.count() >= SPLIT
     for _ in range(max_rounds):
-        after = materialize(_star(_star(now, True), False), "edges")
+        after = materialize(_star(_star(now, True, split), False, split), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)
         now = after

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import blocks, extend, field, materialize, text_bytes, with_columns
+from quillsieve.llm.common import blocks, discard, extend, field, materialize, text_bytes, with_columns
 from quillsieve.llm.tiles import runs
 
 SHINGLE = 5
@@ -20,7 +20,7 @@ MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Counters that tell common shingles from rare ones, and their number in one row of a table.
 SLOTS, CHUNK = 1 << 21, 1 << 16
 #: Rows of a bucket that one tile compares, and pairs that one tile verifies.
-TILE, PAIRS = 1024, 1 << 15
+TILE, PAIRS = 1024, 1 << 12
 #: Places of a bucket's order within which rows are compared before all others.
 NEXT = 3
 #: Bits of a text's parity sketch: as many as it has shingles, within these bounds.
@@ -153,9 +153,7 @@ def commonness(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def postings(texts: DataFrame, level: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(token, key, n, pos, sketch): the first shingles of each text in the order of their commonness, n of all its shingles.
-
-    The sketch stands in the row of the first one only.
+    """(token, key, n, pos): the first shingles of each text in the order of their commonness, n of all its shingles.
 
     Two sets of which the larger has n shingles share NEAR / OF of n at least, so each holds one of the
     common shingles among its first n - ceil(n * NEAR / OF) + 1.
@@ -163,34 +161,45 @@ def postings(texts: DataFrame, level: np.ndarray, text_col: str = "text") -> Dat
     shared = texts.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
-        held, marks, rows = [], [], 0
+        held, rows = [], 0
 
         def batch():
-            sketch = np.full(sum(len(h[0]) for h in held), None, object)
-            sketch[np.cumsum([0] + [len(h[0]) for h in held[:-1]])] = marks
-            return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c)) for c in zip(*held)], pa.array(sketch, pa.binary())], names=["token", "key", "n", "pos", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["token", "key", "n", "pos"])
 
         for key, g in _new_texts(batches, text_col):
             n = len(g)
             first = n - -(-n * NEAR // OF) + 1
-            marks.append(parity(g))
             g = g[np.lexsort((g, shared.value[g & np.uint64(SLOTS - 1)]))[:first]]
             held.append((g.view(np.int64), np.full(first, key, np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
             rows += first
             if rows > 1 << 16:
                 yield batch()
-                held, marks, rows = [], [], 0
+                held, rows = [], 0
         if held:
             yield batch()
 
-    return texts.select("__key", text_col).mapInArrow(run, "token long, key long, n int, pos int, sketch binary")
+    return texts.select("__key", text_col).mapInArrow(run, "token long, key long, n int, pos int")
 
 
 def shared_postings(found: DataFrame) -> DataFrame:
-    """The postings of tokens that stand in two rows or more, with their number c."""
+    """The postings of tokens that stand in two rows or more, with their number c.
+
+    ``found`` is worked out twice rather than written: it is about as large as the texts.
+    """
     # counted apart, so that a join on a frequent token can be split
     counts = materialize(found.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "tokens")
-    return found.select("token", "key", "n", "pos").join(counts, "token")
+    return found.join(counts, "token")
+
+
+def sketched(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, sketch) of texts with their __key."""
+
+    def run(batches):
+        for batch in blocks(batches, text_col):
+            got = [parity(shingles(w)) for w in _words(batch, text_col)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", "sketch"])
+
+    return texts.select("__key", text_col).mapInArrow(run, "key long, sketch binary")
 
 
 def _may_link(key, n, pos, sketches, a, b) -> tuple[np.ndarray, np.ndarray]:
@@ -240,12 +249,14 @@ def neighbours(shared: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def unsettled(shared: DataFrame, linked: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The postings of tokens that texts of different components (node, component) share, with component and sketch (key, sketch)."""
+def unsettled(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """The postings of tokens that texts of different components (node, component) share, with their component."""
     placed = shared.join(linked, shared["key"] == linked["node"], "left").drop("node").withColumn("component", F.coalesce("component", "key"))
     placed = materialize(placed, "placed")
     mixed = materialize(placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token"), "mixed")
-    return placed.join(mixed, "token", "left_semi").join(sketches, "key")
+    out = materialize(placed.join(mixed, "token", "left_semi"), "unsettled")
+    discard(placed)
+    return out
 
 
 def candidates(open_: DataFrame) -> DataFrame:

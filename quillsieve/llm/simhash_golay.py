@@ -251,12 +251,15 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             got = [join.shingles(w).tobytes() for w in join._words(batch, text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", "grams"])
 
+    def texts_of(keys):
+        """One row of each text that is asked for by its key."""
+        wanted = leaders.join(keys.distinct(), "key", "left_semi").select(F.col("row").alias("__row"))
+        return stored.select("__row", "__key", text_col).join(wanted, "__row", "left_semi")
+
     def links(pairs):
         pairs = materialize(pairs, "pairs")
-        nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-        wanted = leaders.join(nodes, "key", "left_semi").select(F.col("row").alias("__row"))
-        sets = stored.select("__row", "__key", text_col).join(wanted, "__row", "left_semi").mapInArrow(grams, "key long, grams binary")
-        found = materialize(join.verified(pairs, sets), "links")
+        nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key")))
+        found = materialize(join.verified(pairs, texts_of(nodes).mapInArrow(grams, "key long, grams binary")), "links")
         discard(pairs)
         return found
 
@@ -266,18 +269,18 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = materialize(golay_keys(prints), "golay")
     forest = link_forest(keys)
     linked = forest.join(prints.select(F.col("simhash").alias("u"), F.col("head").alias("x")), "u").join(prints.select(F.col("simhash").alias("v"), F.col("head").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = materialize(join.postings(stored, join.commonness(stored, text_col), text_col), "postings")
+    stars = materialize(equal.union(linked), "stars")
+    discard(keys)
     let_go(df.sparkSession)
-    sketches = materialize(found.filter("pos = 0").groupBy("key").agg(F.min("sketch").alias("sketch")), "sketches")
-    shared = materialize(join.shared_postings(found), "shared")
-    discard(found)
+    shared = materialize(join.shared_postings(join.postings(stored, join.commonness(stored, text_col), text_col)), "shared")
+    let_go(df.sparkSession)
+    near = links(join.neighbours(shared).union(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     let_go(df.sparkSession)
-    near = links(join.neighbours(shared).union(equal).union(linked).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    discard(keys)
     # what a few comparisons of each text link is not compared again; the rest is, in full
-    open_ = materialize(join.unsettled(shared, connected_components(near), sketches), "unsettled")
+    open_ = join.unsettled(shared, connected_components(near))
     discard(shared)
-    rest = links(join.candidates(open_))
+    sketches = join.sketched(texts_of(open_.select("key")), text_col)
+    rest = links(join.candidates(open_.join(sketches, "key")))
     discard(open_)
     whole = connected_components(near.union(rest))
     grouped = leaders.join(whole, leaders["key"] == whole["node"], "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))

@@ -85,3 +85,18 @@ def test_nulls_repeats_and_empty(spark):
     assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (6, 6), (7, 6)]
     assert sorted((r["doc_id"] or -1) for r in sg.drop_near_duplicates(df).collect()) == [-1, 5, 6]
     assert sg.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_components_with_hubs_equal_brute_force(spark, monkeypatch):
+    from quillsieve.llm import components as parts
+
+    random.seed(8)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 100 + random.randrange(0, 40)) for k in range(40)] + [(59, 300), (300, 301), (5, 5), (None, 3)]
+    label = {x: x for e in edges for x in e if x is not None and e[0] != e[1] and None not in e}
+    while (now := {**label, **{x: min(label[a], label[b]) for a, b in edges if a is not None and a != b for x in (a, b) if min(label[a], label[b]) < label[x]}}) != label:
+        label = now
+    df = spark.createDataFrame(edges, "u long, v long")
+    for split in (1 << 20, 1):
+        monkeypatch.setattr(parts, "SPLIT", split)
+        monkeypatch.setattr(parts, "HUB", 7)
+        assert {r["node"]: r["component"] for r in parts.connected_components(df).collect()} == label
