@@ -18,7 +18,7 @@ BITS = 64
 #: Vectors the rotation is learned from, at most; all vectors are coded and compared.
 SAMPLE_ROWS = 8192
 #: Vectors of the sample on which layouts of the tables are weighed, and a layout's relative costs of a row and of a comparison.
-WEIGHED, ROW_COST, PAIR_COST = 256, 3.0, 0.02
+WEIGHED, ROW_COST, PAIR_COST = 64, 3.0, 0.02
 TILE = 1024
 
 
@@ -100,10 +100,11 @@ def layout_for(quantiser: Quantiser, unit: np.ndarray, vectors: float, pairs: fl
     sketch = quantiser.sketch(unit[:WEIGHED])
     bits = quantiser.axes.shape[1]
     best, least = None, np.inf
-    for width in range(2 if bits > 1 else 1, min(bits, 24) + 1, 2):
+    # keys much wider than the vectors are many only cost probes
+    for width in range(2 if bits > 1 else 1, min(bits, 24, int(np.log2(vectors + 1)) + 4) + 1, 2):
         for tables in range(min(4, bits // width), bits // width + 1):
             layout = Layout(tables, width, int(reach(threshold) ** 2 / 2 / tables / quantiser.step**2))
-            found = probes(sketch, layout, 0, most=len(sketch) * 4096)
+            found = probes(sketch, layout, 0, most=len(sketch) * 2048)
             if found is None:
                 continue
             each = len(found[0]) / len(sketch)

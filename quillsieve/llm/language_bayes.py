@@ -101,6 +101,8 @@ def count_grams(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", smooth: float = 0.5) -> Model:
     """Counts the n-grams of every row with a text and a language, and takes smoothed logarithms.
 
+    Null texts and languages are left out, texts without a letter too; repeated rows count as often as
+    they stand; an empty table gives a model that knows no language.
     At most MAX_LANGUAGES languages times BUCKETS sums come to the driver; more languages are an error.
     """
     known = df.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
@@ -124,7 +126,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
     """Adds lang_pred and score (the posterior) from each whole text.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Other columns
-    are carried and never read; those named lang_pred or score are replaced.
+    are carried and never read; those named lang_pred or score are replaced. Repeated rows stay; an
+    empty table gives an empty one.
     """
     keep = df.columns if keep is None else list(keep)
     source = df.select(list(dict.fromkeys([*keep, text_col])))

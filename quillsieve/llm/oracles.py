@@ -4,18 +4,20 @@ LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS gram
-      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+g AS (SELECT k, item_id, q, least(10, len(w)) AS n, array_to_string(list_slice(w, q, q + least(10, len(w)) - 1), ' ') AS gram
+      FROM (SELECT k, item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS q FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM g),
 o AS (SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS gram
       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
-m AS (SELECT o.doc_id, o.n, o.p, g.item_id FROM o JOIN g ON o.n = g.n AND o.gram = g.gram),
+m AS (SELECT o.doc_id, o.n, o.p, g.item_id, g.k, g.q FROM o JOIN g ON o.n = g.n AND o.gram = g.gram),
 h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id),
+run AS (SELECT doc_id, min(p) AS p, count(*) + min(n) - 1 AS l FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, k, p - q ORDER BY p) AS r FROM m) GROUP BY doc_id, k, p - q, r),
+l AS (SELECT doc_id, max(l) AS longest, arg_min(p, (-l, p)) - 1 AS longest_at FROM run GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(i.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+       sha256(coalesce(i.s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(l.longest, 0) AS BIGINT) AS longest, CAST(coalesce(l.longest_at, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 

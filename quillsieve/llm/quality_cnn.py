@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillsieve.llm.common import blocks, extend, field, text_bytes, with_columns
 
@@ -15,8 +16,8 @@ WIDTH, FILTERS = 5, 16
 #: A chunk is four cells long and the next one begins three cells later, so neighbours share a cell.
 CELL, CHUNK_CELLS, HOP_CELLS = 64, 4, 3
 STRIP = 1 << 13
-#: Labelled rows that a fit reads at most, and bytes of text among them.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 24 << 20
+#: The bounded sample of a fit: labelled rows at most, bytes of text among them, and bytes of one text; longer texts are scored but not learned from.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 3000, 24 << 20, 3 << 19
 
 
 @dataclass
@@ -179,27 +180,33 @@ def split_of(id_column: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled texts: those whose ids have the least hashes, up to ``size`` bytes of text.
+def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, longest: int = TRAIN_TEXT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[tuple[bytes, int]]:
+    """At most ``rows`` labelled texts of ``size`` bytes in all: those whose ids have the least hashes.
 
-    Rows with crc32(id) mod 4 = 2 are held out. Null labels, ids and texts are left out; of an id with
-    several labels the least counts.
+    Rows with crc32(id) mod 4 = 2 are held out. Null labels, ids and texts and texts over ``longest``
+    bytes are left out; of an id with several labels the least counts; repeated rows of one id and text
+    count once. The lengths are summed before any text is fetched, so the driver never holds more than
+    ``size`` bytes of them. Empty tables give no rows.
     """
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (split_of(F.col(id_col), 4) != 2))
     chosen = chosen.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__label"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text IS NOT NULL")
+    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull() & (F.octet_length("__text") <= longest))
     # ``chosen`` holds at most ``rows`` pairs of numbers
-    found = texts.join(F.broadcast(chosen), "__id").select("__id", "__label", "__text").filter(F.octet_length("__text") <= size // 16)
-    got = found.orderBy(F.xxhash64("__id"), "__id", "__text").limit(rows).collect()
-    out, held = [], 0
-    for r in got:
-        raw = r["__text"].encode()
-        if held + len(raw) > size:
+    found = texts.join(F.broadcast(chosen), "__id").withColumn("__hash", F.xxhash64("__text"))
+    known = found.select(F.xxhash64("__id").alias("__order"), "__id", "__hash", F.octet_length("__text").alias("__size")).distinct().orderBy("__order", "__id", "__hash").limit(rows).collect()
+    taken, held = [], 0
+    for r in known:
+        if held + r["__size"] > size:
             break
-        out.append((raw, r["__label"]))
-        held += len(raw)
-    return out
+        held += r["__size"]
+        taken.append((r["__id"], r["__hash"]))
+    if not taken:
+        return []
+    wanted = documents.sparkSession.createDataFrame(taken, T.StructType([T.StructField("__id", documents.schema[id_col].dataType), T.StructField("__hash", T.LongType())]))
+    got = found.join(F.broadcast(wanted), ["__id", "__hash"]).select("__id", "__hash", "__label", "__text").dropDuplicates(["__id", "__hash"])
+    place = {key: k for k, key in enumerate(taken)}
+    return [(r["__text"].encode(), r["__label"]) for r in sorted(got.collect(), key=lambda r: place[r["__id"], r["__hash"]])]
 
 
 def train(documents: DataFrame, labels: DataFrame, **options) -> Network:
@@ -210,8 +217,9 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Network:
 def score_quality(df: DataFrame, network: Network, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """Adds the probability of label 1, from all chunks of each whole text.
 
-    Null and empty texts get the probability of an empty text. Equal texts get equal scores. Other
-    columns are carried and never read; one named as ``out`` is replaced.
+    Null and empty texts get the probability of an empty text. Equal texts get equal scores, so repeated
+    rows stay and agree. Other columns are carried and never read; one named as ``out`` is replaced. An
+    empty table gives an empty one.
     """
     keep = df.columns if keep is None else list(keep)
     source = df.select(list(dict.fromkeys([*keep, text_col])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from quillsieve.llm import itq_dedup, language_bayes, license_tfidf, oracles, pii_weak, quality_cnn, rendezvous, secret_automaton, sentencepiece_topk, simhash_golay, suffix_decontam
 
 
-#: Path of the SentencePiece model, read on the driver.
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Path of the SentencePiece model, read on the driver: a setting, or the model of this machine.
+PIECE_MODEL = os.environ.get("QUILLSIEVE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    """Two samples of each document, and whether each decodes to the text it came from."""
     pieces = sentencepiece_topk.load_pieces(model_file)
-    return sentencepiece_topk.sample_encodings(table(spark, sf_dir, "documents"), pieces, k=2, keep=["doc_id"])
+    out = sentencepiece_topk.sample_encodings(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, k=2)
+    for n in (0, 1):
+        out = out.withColumn("ids", F.get("samples", F.lit(n))["ids"])
+        out = sentencepiece_topk.decode(out, pieces, out=f"text{n}", keep=[c for c in out.columns if c != "ids"])
+    want = F.replace("text", F.lit("\u2581"), F.lit(" "))
+    same = F.coalesce(F.col("text0") == want, F.col("text0").isNull()) & F.coalesce(F.col("text1") == want, F.col("text1").isNull())
+    return out.select("doc_id", "samples", same.alias("decodes"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +55,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
-    return found.drop("longest", "longest_at")
+    return suffix_decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

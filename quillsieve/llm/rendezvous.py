@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quillsieve.llm.common import materialize
+
 #: Rows that one window of the slot numbering holds on average.
 ROWS_PER_BUCKET = 20_000
 
@@ -32,25 +34,24 @@ def rendezvous_shard(key: Column, weights: Sequence[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def slots(df: DataFrame, shard: str, order: Sequence[Column], out: str = "slot", rows: int | None = None) -> DataFrame:
+def slots(df: DataFrame, shard: str, order: Sequence[Column], out: str = "slot", per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Numbers the rows of each shard from 0 without a gap.
 
     Rows go to (shard, bucket) windows by a hash of ``order``; a bucket's first number is the sum of
     the counts before it, so no window holds a whole shard. Equal rows are dealt over sub-buckets by
-    their row position in the input, so many repeats of one row stay spread too.
+    their row position in the input, so many repeats of one row stay spread too. The rows are written
+    with their sub-buckets first: counts and windows read the same ones even if a task runs again.
     """
-    spark = df.sparkSession
-    count = rows if rows is not None else df.count()
-    per = max(1, -(-count // ROWS_PER_BUCKET))
-    deal = F.pmod(F.monotonically_increasing_id(), F.lit(per)).cast("int")
-    numbered = df.withColumn("__sub", deal).withColumn("__bucket", F.pmod(F.xxhash64(*order, F.col("__sub")), F.lit(per)).cast("int"))
-    numbered = numbered.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*order, "__sub")))
+    held = materialize(df.withColumn("__at", F.monotonically_increasing_id()), "slots")
+    per = max(1, -(-held.count() // per_bucket))
+    sub = F.pmod(F.col("__at"), F.lit(per)).cast("int")
+    numbered = held.withColumn("__sub", sub).withColumn("__bucket", F.pmod(F.xxhash64(*order, F.col("__sub")), F.lit(per)).cast("int"))
+    numbered = numbered.withColumn("__n", F.row_number().over(Window.partitionBy(shard, "__bucket").orderBy(*order, "__at")))
     sizes = numbered.groupBy(shard, "__bucket").agg(F.count("*").alias("__c"))
     # One row per (shard, bucket), so a row stands for about ROWS_PER_BUCKET / shards rows of the input.
     first = sizes.withColumn("__first", F.sum("__c").over(Window.partitionBy(shard).orderBy("__bucket")) - F.col("__c")).withColumnRenamed(shard, "__shard").withColumnRenamed("__bucket", "__b")
-    del spark
     joined = numbered.join(first, numbered[shard].eqNullSafe(first["__shard"]) & (F.col("__bucket") == F.col("__b")))
-    return joined.withColumn(out, (F.col("__first") + F.col("__n") - 1).cast("long")).drop("__sub", "__bucket", "__n", "__c", "__first", "__shard", "__b")
+    return joined.withColumn(out, (F.col("__first") + F.col("__n") - 1).cast("long")).drop("__at", "__sub", "__bucket", "__n", "__c", "__first", "__shard", "__b")
 
 
 def shard_documents(df: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,4 +70,4 @@ def shard_documents(df: DataFrame, shards: int = 24, weights: Sequence[float] |
         rendezvous_shard(F.col(id_col), weights).alias("shard"),
         rendezvous_shard(F.col(id_col), [*weights, 1.0]).alias("grown_shard"),
     )
-    return slots(flat, "shard", [F.col(id_col), F.col("text_crc32"), F.col("size")], rows=df.select(id_col).count())
+    return slots(flat, "shard", [F.col(id_col), F.col("text_crc32"), F.col("size")])

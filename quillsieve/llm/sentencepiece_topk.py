@@ -450,7 +450,8 @@ def sample_encodings(df: DataFrame, pieces: Pieces, k: int = 2, seed: int = 1, k
     the next score. Samples depend on the seed, the key and the text alone; rows equal in both get equal
     samples; a null key is the key ''. Null and empty texts have no segmentation. A text with fewer than k
     segmentations gives those it has. The text is taken as it is, a blank before it and blanks written as
-    U+2581, so a U+2581 of the text decodes to a blank. A column named as ``out`` is replaced.
+    U+2581, so a U+2581 of the text decodes to a blank. A column named as ``out`` is replaced. An empty
+    table gives an empty one.
     """
     keep = df.columns if keep is None else list(keep)
     source = df.select(list(dict.fromkeys([*keep, key_col, text_col])))
@@ -481,7 +482,10 @@ def decode_ids(pieces: Pieces, packed: bytes | None) -> str | None:
 
 
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", out: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the texts of packed ids; null ids give null, no ids the empty text."""
+    """Adds the texts of packed ids; null ids give null, no ids the empty text.
+
+    Repeated rows stay; a column named as ``out`` is replaced; an empty table gives an empty one.
+    """
     keep = df.columns if keep is None else list(keep)
     source = df.select(list(dict.fromkeys([*keep, ids_col])))
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from quillsieve.llm.common import BLOCK_BYTES, blocks, extend, field, text_bytes, with_columns
 
-#: Bytes of benchmark text that one pass over the documents holds; more text means more passes.
-BENCHMARK_BYTES = 2 << 20
+#: Bytes of benchmark text in one block, which is sought as a whole; a worker holds this many blocks and reads others as it needs them.
+BENCHMARK_BYTES, HELD = 2 << 20, 8
+#: Blocks that one pass over the documents seeks (256 MB of text at most); more blocks mean more passes.
+BLOCKS = 128
 #: Leading words by which a training suffix is admitted: no shorter match is ever reported.
 ANCHOR = 3
 
@@ -54,17 +56,24 @@ class TestSuffixes:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         where: dict[bytes, list] = {}
+        spelled: dict[int, bytes] = {}
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            got = tokens(raw, np.array([0, len(raw)]))[0]
+            got, start, end, _ = tokens(raw, np.array([0, len(raw)]))
+            low = LOWER[raw].tobytes()
+            for h, a, b in zip(got.tolist(), start.tolist(), end.tolist()):
+                if spelled.setdefault(h, low[a:b]) != low[a:b]:
+                    raise RuntimeError(f"{low[a:b]!r} and {spelled[h]!r} share a hash")
             if len(got):
                 where.setdefault(got.tobytes(), []).append(item)
         self.owners = [sorted({str(x) for x in ids if x is not None}) for ids in where.values()]
         words = [np.frombuffer(k, np.uint64) for k in where]
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.vocabulary = np.unique(flat)
-        if len(self.vocabulary) >= 1 << 21:
-            raise ValueError("too many distinct words in one block of the benchmark; lower benchmark_bytes")
+        #: the bytes of each numbered word, by which hits are verified
+        self.spelled = [b""] + [spelled[h] for h in self.vocabulary.tolist()]
+        #: words that one whole number holds side by side, and bits of each
+        self.side, self.bits = (3, 21) if len(self.vocabulary) < (1 << 21) - 1 else (2, 31)
         number = np.searchsorted(self.vocabulary, flat) + 1
         size = np.array([len(w) for w in words], np.int64)
         self.item = np.repeat(np.arange(len(words)), size)
@@ -73,30 +82,30 @@ class TestSuffixes:
         self.need = np.minimum(window, size)[self.item] if len(words) else np.zeros(0, np.int64)
         keep = last - at >= self.need
         self.at, self.left, self.item, self.need = at[keep], (last - at)[keep], self.item[keep], self.need[keep]
-        self.anchor = int(min(ANCHOR, self.need.min())) if len(self.at) else 1
+        self.anchor = int(min(ANCHOR, self.side, self.need.min())) if len(self.at) else 1
         self.words = np.concatenate([number, np.zeros(window + ANCHOR, np.int64)])
-        self.anchors = np.unique(pack(self.words, self.at, self.anchor))
+        self.anchors = np.unique(pack(self.words, self.at, self.anchor, self.bits))
 
 
-def pack(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def pack(words: np.ndarray, at: np.ndarray, n: int, bits: int) -> np.ndarray:
     key = words[at]
     for k in range(1, n):
-        key = (key << 21) | words[at + k]
+        key = (key << bits) | words[at + k]
     return key
 
 
-def suffix_array(words: np.ndarray, live: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(words: np.ndarray, live: np.ndarray, depth: int, side: int, bits: int) -> np.ndarray:
     """``live`` positions sorted by their next ``depth`` words; ``words`` is padded with zeros.
 
-    Groups that share a prefix are split by three more words at a time until they are single.
+    Groups that share a prefix are split by ``side`` more words at a time until they are single.
     """
     order = live
     rank = np.zeros(len(live), np.int64)
     active = np.arange(len(live))
-    for d in range(0, depth, 3):
+    for d in range(0, depth, side):
         if not len(active):
             break
-        key = pack(words, np.minimum(order[active] + d, len(words) - 4), 3)
+        key = pack(words, np.minimum(order[active] + d, len(words) - 4), side, bits)
         by = np.lexsort((key, rank[active]))
         order[active] = order[active][by]
         key, group = key[by], rank[active][by]
@@ -106,7 +115,7 @@ def suffix_array(words: np.ndarray, live: np.ndarray, depth: int) -> np.ndarray:
         rank[active] = active[head][np.cumsum(new) - 1]
         length = np.diff(np.append(head, len(active)))
         # A suffix that has met the end of its text or a foreign word can match nothing beyond it.
-        active = active[np.repeat(length > 1, length) & (key & 0x1FFFFF != 0)]
+        active = active[np.repeat(length > 1, length) & (key & ((1 << bits) - 1) != 0)]
     return order
 
 
@@ -136,31 +145,55 @@ def search(words: np.ndarray, order: np.ndarray, test: TestSuffixes) -> Iterator
         who, low, high = who[more], low[more], high[more]
 
 
-def shard_hits(data: np.ndarray, bounds: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, list[set[int]], np.ndarray, np.ndarray]:
-    """Of one shard: words and hit flags by word index, items by row, longest match and its first word by row."""
-    hashed, _, _, first = tokens(data, bounds)
-    rows = len(bounds) - 1
-    n_words = np.diff(first)
-    items: list[set[int]] = [set() for _ in range(rows)]
-    longest, place = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
-    # One zero after each row keeps matches inside rows.
-    slot = np.arange(len(hashed)) + np.repeat(np.arange(rows), n_words)
-    words = np.zeros(len(hashed) + rows + 8, np.int64)
-    hit = np.zeros(len(words) + 1, np.int64)
-    if len(hashed) and len(test.at):
-        near = np.minimum(np.searchsorted(test.vocabulary, hashed), len(test.vocabulary) - 1)
-        words[slot] = np.where(test.vocabulary[near] == hashed, near + 1, 0)
+class Shard:
+    """The numbered words of a block of documents; each is hashed once and then sought in every block of the benchmark."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        self.low = LOWER[data].tobytes()
+        self.hashed, self.start, self.end, self.first = tokens(data, bounds)
+        self.rows = len(bounds) - 1
+        self.n_words = np.diff(self.first)
+        # one zero after each row keeps matches inside rows
+        self.slot = np.arange(len(self.hashed)) + np.repeat(np.arange(self.rows), self.n_words)
+        self.row_slot = self.first[:-1] + np.arange(self.rows)
+
+    def hits(self, test: TestSuffixes) -> tuple[np.ndarray, list[set[int]], np.ndarray, np.ndarray]:
+        """Hit flags by word, items by row, longest match that holds a window and its first word by row.
+
+        Words are compared by hashes; those of the hits are then compared byte by byte, and where one
+        differs the shard is sought anew without it.
+        """
+        rows = self.rows
+        if not len(self.hashed) or not len(test.at):
+            return np.zeros(len(self.hashed), bool), [set() for _ in range(rows)], np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
+        words = np.zeros(len(self.hashed) + rows + 8, np.int64)
+        near = np.minimum(np.searchsorted(test.vocabulary, self.hashed), len(test.vocabulary) - 1)
+        words[self.slot] = np.where(test.vocabulary[near] == self.hashed, near + 1, 0)
+        while True:
+            found = self._sought(words, test)
+            spot = np.flatnonzero(found[0])
+            named = words[self.slot[spot]].tolist()
+            other = [k for k, w, a, b in zip(spot.tolist(), named, self.start[spot].tolist(), self.end[spot].tolist()) if self.low[a:b] != test.spelled[w]]
+            if not other:
+                return found
+            words[self.slot[other]] = 0
+
+    def _sought(self, words: np.ndarray, test: TestSuffixes):
+        rows = self.rows
+        items: list[set[int]] = [set() for _ in range(rows)]
+        longest, place = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
+        hit = np.zeros(len(words) + 1, np.int64)
         live = np.flatnonzero(words[:-8])
-        key = pack(words, live, test.anchor)
+        key = pack(words, live, test.anchor, test.bits)
         live = live[test.anchors[np.minimum(np.searchsorted(test.anchors, key), len(test.anchors) - 1)] == key]
         if len(live):
-            order = suffix_array(words, live, int(test.left.max()))
+            order = suffix_array(words, live, int(test.left.max()), test.side, test.bits)
             match = np.zeros(len(order), np.int64)
-            row_slot = first[:-1] + np.arange(rows)
             for depth, who, low, high in search(words, order, test):
+                enough = depth >= test.need[who]
                 cover = np.zeros(len(order) + 1, np.int64)
-                np.add.at(cover, low, 1)
-                np.add.at(cover, high, -1)
+                np.add.at(cover, low[enough], 1)
+                np.add.at(cover, high[enough], -1)
                 match[np.cumsum(cover[:-1]) > 0] = depth
                 whole = test.need[who] == depth
                 if whole.any():
@@ -170,20 +203,19 @@ def shard_hits(data: np.ndarray, bounds: np.ndarray, test: TestSuffixes) -> tupl
                     begin = order[at]
                     np.add.at(hit, begin, 1)
                     np.add.at(hit, begin + depth, -1)
-                    row = np.searchsorted(row_slot, begin, side="right") - 1
-                    # rows without words share a slot number with no word of their own
+                    row = np.searchsorted(self.row_slot, begin, side="right") - 1
                     for pair in np.unique(row * len(test.owners) + np.repeat(owner, size)).tolist():
                         items[pair // len(test.owners)].add(pair % len(test.owners))
-            row = np.searchsorted(row_slot, order, side="right") - 1
+            row = np.searchsorted(self.row_slot, order, side="right") - 1
             np.maximum.at(longest, row, match)
-            best = np.flatnonzero(match == longest[row])
-            np.minimum.at(place := np.full(rows, np.iinfo(np.int64).max), row[best], order[best])
-            place = np.where((longest > 0) & np.array([bool(x) for x in items]), place - row_slot, -1)
-            longest = np.where(place >= 0, longest, 0)
-    return n_words, np.cumsum(hit)[slot] > 0, items, longest, place
+            best = np.flatnonzero((match == longest[row]) & (match > 0))
+            far = np.full(rows, np.iinfo(np.int64).max)
+            np.minimum.at(far, row[best], order[best])
+            place = np.where(longest > 0, far - self.row_slot, -1)
+        return np.cumsum(hit)[self.slot] > 0, items, longest, place
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple]]:
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
     """The items in lists of about ``limit`` bytes each, read one list at a time; their sizes are counted first."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -195,59 +227,78 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit:
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, benchmark_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """Each document's words, words inside occurrences of benchmark windows, items and longest verbatim match.
 
-    Every Arrow block of documents is a shard: it gets a suffix array over its numbered words, and all
-    suffixes of the benchmark items that begin a window are sought in it by binary search, word by
-    word. The suffix array holds the suffixes that begin with an ``ANCHOR``-gram of the benchmark
-    (fewer words where an item is shorter): no other suffix can match a window. Words are compared by
-    64-bit hashes. The benchmark goes to the executors in blocks of a counted size, with one map-only
-    pass for each block; documents never shuffle.
+    Every Arrow block of documents is a shard: its words are hashed once and numbered by each block of
+    the benchmark; it gets a suffix array over them, and all suffixes of the items that begin a window
+    are sought in it by binary search, word by word. The suffix array holds the suffixes that begin with
+    an ``ANCHOR``-gram of the benchmark (fewer words where an item is shorter): no other suffix can match
+    a window. Words are compared by 64-bit hashes and those of the hits byte by byte. The benchmark goes
+    to the executors in blocks of a counted size, ``BLOCKS`` of them for each map-only pass; the driver
+    holds one block at a time, and documents never shuffle.
 
     Returns the kept columns (default: the id) with n_words, n_hit (long), items (sorted distinct
     ids as strings), longest (words of the longest match that holds a window, 0: none) and
-    longest_at (its first word, -1: none). Null and empty texts have no words. An item without words
-    has no window; null item ids are left out of ``items`` yet their hits count; repeated items and
-    repeated documents count as what they are. Other columns are not read.
+    longest_at (its first word, the first of several, -1: none). Null and empty texts have no words. An
+    item without words has no window; null item ids are left out of ``items`` yet their hits count;
+    repeated items and repeated documents count as what they are. An empty benchmark hits nothing, empty
+    documents give no rows. Kept columns named as a result are replaced; others are not read.
     """
     keep = [id_col] if keep is None else list(keep)
     fields = [field("n_words", "long"), field("n_hit", "long"), field("items", "array<string>"), field("longest", "long"), field("longest_at", "long")]
-    hits = field("__hits", "array<long>")
-    out = documents
-    lists = list(benchmark_blocks(benchmark, item_col, item_text_col, benchmark_bytes))
-    for k, items in enumerate(lists):
-        test, final = TestSuffixes(items, window), k == len(lists) - 1
-        before = k > 0
+    context = documents.sparkSession.sparkContext
+    # one block at a time is on the driver; what it has sent lies in files
+    tests = [context.broadcast(TestSuffixes(items, window)) for items in benchmark_blocks(benchmark, item_col, item_text_col, benchmark_bytes)]
+    passes = [tests[k : k + BLOCKS] for k in range(0, len(tests), BLOCKS)] or [[]]
+    out, before = documents, ()
+    for part in passes:
+        final = part is passes[-1]
         names = list(dict.fromkeys([*keep, text_col])) if not final else keep
-        columns = list(dict.fromkeys([*keep, text_col])) + ([f.name for f in fields[2:]] + ["__hits"] if before else [])
-        source = out.select(columns)
-        schema = extend(source, names, [*fields, *([] if final else [hits])])
-
-        def run(batches, test=test, final=final, before=before, names=names, schema=schema):
-            for batch in blocks(batches, text_col, BLOCK_BYTES):
-                data, bounds = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
-                n_words, hit, found, longest, place = shard_hits(data, bounds, test)
-                first = np.concatenate([[0], np.cumsum(n_words)])
-                owners = [sorted({x for i in f for x in test.owners[i]}) for f in found]
-                if before:
-                    old = {c: batch.column(batch.schema.get_field_index(c)) for c in ("items", "longest", "longest_at", "__hits")}
-                    owners = [sorted({*a, *b}) for a, b in zip(owners, old["items"].to_pylist())]
-                    was, at = old["longest"].to_numpy(), old["longest_at"].to_numpy()
-                    place = np.where(was >= longest, at, place)
-                    longest = np.maximum(was, longest)
-                    spots = old["__hits"]
-                    rows = np.repeat(np.arange(len(n_words)), np.diff(spots.offsets.to_numpy()))
-                    hit[first[rows] + spots.flatten().to_numpy()] = True
-                total = np.concatenate([[0], np.cumsum(hit)])
-                new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(total[first[1:]] - total[first[:-1]], pa.int64()), "items": pa.array(owners, pa.list_(pa.string())), "longest": pa.array(longest, pa.int64()), "longest_at": pa.array(place, pa.int64())}
-                if not final:
-                    spot = np.flatnonzero(hit)
-                    row = np.searchsorted(first, spot, side="right") - 1
-                    new["__hits"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(spot, first), pa.int32()), pa.array(spot - first[row], pa.int64()))
-                yield with_columns(batch, names, new)
-
-        out = source.mapInArrow(run, schema)
+        source = out.select(list(dict.fromkeys([*keep, text_col])) + list(before))
+        news = [*fields, *([] if final else [field("__hits", "array<long>")])]
+        out = source.mapInArrow(_seeker(part, text_col, names, bool(before), final), extend(source, names, news))
+        before = ("items", "longest", "longest_at", "__hits")
     return out
 
 
+def _seeker(tests, text_col: str, names: list[str], before: bool, final: bool):
+    """One pass: every block of documents is hashed once and sought in all blocks of the benchmark."""
+
+    def run(batches):
+        for batch in blocks(batches, text_col, BLOCK_BYTES):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            shard = Shard(*text_bytes(column(text_col)))
+            first, rows = shard.first, shard.rows
+            hit, owners = np.zeros(len(shard.hashed), bool), [set() for _ in range(rows)]
+            longest, place = np.zeros(rows, np.int64), np.full(rows, -1, np.int64)
+            if before:
+                longest, place = column("longest").to_numpy().copy(), column("longest_at").to_numpy().copy()
+                for row, known in enumerate(column("items").to_pylist()):
+                    owners[row].update(known)
+                spots = column("__hits")
+                of = np.repeat(np.arange(rows), np.diff(spots.offsets.to_numpy()))
+                hit[first[of] + spots.flatten().to_numpy()] = True
+            for k, shared in enumerate(tests):
+                test = shared.value
+                more, found, far, at = shard.hits(test)
+                hit |= more
+                for row, some in enumerate(found):
+                    for i in some:
+                        owners[row].update(test.owners[i])
+                place = np.where(far > longest, at, np.where((far == longest) & (far > 0), np.minimum(place, at), place))
+                longest = np.maximum(longest, far)
+                if k >= HELD:
+                    # read again for the next block of documents, so that memory stays bounded
+                    del shared._value
+            total = np.concatenate([[0], np.cumsum(hit)])
+            new = {"n_words": pa.array(shard.n_words, pa.int64()), "n_hit": pa.array(total[first[1:]] - total[first[:-1]], pa.int64()), "items": pa.array([sorted(x) for x in owners], pa.list_(pa.string())), "longest": pa.array(longest, pa.int64()), "longest_at": pa.array(place, pa.int64())}
+            if not final:
+                spot = np.flatnonzero(hit)
+                row = np.searchsorted(first, spot, side="right") - 1
+                new["__hits"] = pa.ListArray.from_arrays(pa.array(np.searchsorted(spot, first), pa.int32()), pa.array(spot - first[row], pa.int64()))
+            yield with_columns(batch, names, new)
+
+    return run
+
+
 def contamination_report(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``find_contamination`` with n_items, items_sha256 and contaminated in place of the item lists."""
     found = find_contamination(documents, benchmark, **options)
@@ -255,7 +306,10 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, **options)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents no word of which lies in an occurrence of a benchmark window; all columns stay."""
+    """The documents no word of which lies in an occurrence of a benchmark window; all columns stay.
+
+    Null and empty texts stay, as do repeated rows; an empty table gives an empty one.
+    """
     columns = documents.columns
     found = find_contamination(documents, benchmark, keep=columns, **options)
     return found.filter("n_hit = 0").select(columns)

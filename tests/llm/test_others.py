@@ -79,10 +79,11 @@ def test_added_secret_rules_equal_plain_regexes():
 def plain_contamination(documents, benchmark):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-    windows = {}
+    windows, whole = {}, []
     for item, text in benchmark:
         w = split(text)
         n = min(10, len(w))
+        whole.append((w, n))
         for p in range(len(w) - n + 1) if n else ():
             windows.setdefault(tuple(w[p : p + n]), set()).add(str(item))
     out = []
@@ -97,21 +98,48 @@ def plain_contamination(documents, benchmark):
     return out
 
 
-def test_contamination_equals_brute_force_in_one_and_many_blocks(spark):
+def plain_longest(documents, benchmark):
+    """(words, first word) of the longest common run with an item that holds a window of it."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    items = [(w, min(10, len(w))) for w in (split(t) for _, t in benchmark) if w]
+    out = []
+    for _, text in documents:
+        w, best = split(text), (0, 1)
+        for item, n in items:
+            for q in range(len(item) - n + 1):
+                for p in range(len(w) - n + 1):
+                    k = 0
+                    while p + k < len(w) and q + k < len(item) and w[p + k] == item[q + k]:
+                        k += 1
+                    if k >= n and (k, -p) > best:
+                        best = (k, -p)
+        out.append((best[0], -best[1] if best[0] else -1))
+    return out
+
+
+def test_contamination_equals_brute_force_in_one_and_many_blocks(spark, monkeypatch):
     random.seed(6)
     vocabulary = ["a", "B", "cé", "d1", "e", "f", "ぎ"]
     make = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
-    benchmark = [(i, make(random.randrange(1, 16))) for i in range(12)] + [(50, None), (51, ""), (52, "!!"), (3, "x y"), (60, "x y")]
+    benchmark = [(i, make(random.randrange(1, 16))) for i in range(12)] + [(50, None), (51, ""), (52, "!!"), (3, "x y"), (60, "x y"), (70, make(40)), (None, "zz yy")]
     documents = [(i, make(random.randrange(0, 60)) + random.choice(["", " " + benchmark[i % 12][1].upper() + ". "]) + make(5)) for i in range(80)]
-    documents += [(900, None), (901, ""), (902, "x-Y"), (903, "x y " * 4000), (900, "x y")]
-    want = plain_contamination(documents, benchmark)
-    df = spark.createDataFrame([(k, i, t, 3) for k, (i, t) in enumerate(documents)], "k long, doc_id long, text string, n_words int")
+    documents += [(i, make(4) + " " + " ".join(benchmark[17][1].split()[i - 80 : i - 55])) for i in range(80, 90)]
+    documents += [(900, None), (901, ""), (902, "x-Y"), (904, "zz yy"), (900, "x y"), (900, "x y")]
+    long = [(903, "x y " * 4000)]
+    want = [(*a, *b) for a, b in zip(plain_contamination(documents, benchmark), plain_longest(documents, benchmark))] + [(*plain_contamination(long, benchmark)[0], 2, 0)]
+    want = [(a, b, [x for x in c if x != "None"], d, e) for a, b, c, d, e in want]
+    df = spark.createDataFrame([(k, i, t, 3) for k, (i, t) in enumerate(documents + long)], "k long, doc_id long, text string, n_words int")
     b = spark.createDataFrame(benchmark, "item_id long, text string")
-    for size in (1 << 20, 64):
-        got = suffix_decontam.find_contamination(df, b, keep=["k"], benchmark_bytes=size).orderBy("k").collect()
-        assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == want
+    for size, held, many in ((1 << 20, 8, 128), (64, 1, 128), (64, 8, 2)):
+        monkeypatch.setattr(suffix_decontam, "HELD", held)
+        monkeypatch.setattr(suffix_decontam, "BLOCKS", many)
+        found = suffix_decontam.find_contamination(df, b, keep=["k"], benchmark_bytes=size)
+        assert many == 2 or found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got = found.orderBy("k").collect()
+        assert [(r["n_words"], r["n_hit"], r["items"], r["longest"], r["longest_at"]) for r in got] == want
     clean = suffix_decontam.decontaminate(df, b)
-    assert clean.columns == df.columns and clean.count() == sum(h == 0 for _, h, _ in want)
+    assert clean.columns == df.columns and clean.count() == sum(w[1] == 0 for w in want)
     assert suffix_decontam.find_contamination(df, b.limit(0)).filter("n_hit > 0").count() == 0
     assert suffix_decontam.find_contamination(df.limit(0), b).count() == 0
 
@@ -119,8 +147,27 @@ def test_contamination_equals_brute_force_in_one_and_many_blocks(spark):
 def test_longest_match_and_its_place():
     test = suffix_decontam.TestSuffixes([(1, "one two three four five six")], 3)
     text = b"zero two three four five one two three x"
-    n, hit, items, longest, place = suffix_decontam.shard_hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]), test)
-    assert (n[0], hit.sum(), items[0], longest[0], place[0]) == (9, 7, {0}, 4, 1)
+    shard = suffix_decontam.Shard(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    hit, items, longest, place = shard.hits(test)
+    assert (shard.n_words[0], hit.sum(), items[0], longest[0], place[0]) == (9, 7, {0}, 4, 1)
+
+
+def test_words_of_equal_hashes_are_told_apart_by_their_bytes():
+    test = suffix_decontam.TestSuffixes([(1, "one two three")], 3)
+    test.spelled[1:] = [w + b"x" if w == b"two" else w for w in test.spelled[1:]]
+    text = b"zero one two three"
+    hit, items, longest, _ = suffix_decontam.Shard(np.frombuffer(text, np.uint8), np.array([0, len(text)])).hits(test)
+    assert not hit.any() and items == [set()] and longest[0] == 0
+
+
+def test_many_distinct_words_in_one_block_take_wider_numbers():
+    test = suffix_decontam.TestSuffixes([(1, "alpha beta gamma delta epsilon")], 4)
+    wide = suffix_decontam.TestSuffixes([(1, "alpha beta gamma delta epsilon")], 4)
+    wide.side, wide.bits, wide.anchor = 2, 31, 2
+    wide.anchors = np.unique(suffix_decontam.pack(wide.words, wide.at, 2, 31))
+    text = b"beta gamma delta epsilon alpha beta gamma delta x beta gamma"
+    shard = suffix_decontam.Shard(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in shard.hits(test)] == [x.tolist() if hasattr(x, "tolist") else x for x in shard.hits(wide)]
 
 
 def test_vectors_equal_brute_force(spark):
