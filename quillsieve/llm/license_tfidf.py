@@ -65,7 +65,7 @@ TEMPLATES = (
     ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
     ("ISC", "Released under the ISC License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("Artistic-1.0", 'The "Artistic License" Preamble'),
+    ("Artistic-1.0", 'The "Artistic License"'),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 #: A line that any notice has a word of.
