@@ -64,6 +64,46 @@ def tech_of_content(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike("(?d)" + r), name) for name, r in TECH_CONTENT]))
 
 
+# Extensions of binary content, archives and databases first.
+BINARY_EXTENSIONS = (
+    "db", "sqlite", "sqlite3", "zip", "jar", "war", "ear", "whl", "gz", "tar", "tgz", "tbz", "tbz2", "txz", "bz2", "xz", "7z", "rar",
+    "png", "jpg", "jpeg", "gif", "bmp", "ico", "webp", "tiff", "avif", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp",
+    "exe", "dll", "so", "dylib", "bin", "wasm", "o", "a", "lib", "obj", "mp3", "mp4", "wav", "ogg", "flac", "avi", "mov", "mkv", "webm", "m4a",
+    "ttf", "otf", "woff", "woff2", "eot", "pyc", "pyo", "class",
+)
+# Technologies by parts of a local path, and the ending that a provider's path must have instead.
+LOCAL_TECH = (
+    ("Python", ("requirements.txt", "setup.py", "Pipfile", "pyproject.toml", "manage.py"), ()),
+    ("Node.js", ("package.json", "yarn.lock", "package-lock.json", ".nvmrc"), ()),
+    ("PHP", ("composer.json", "composer.lock"), (".php",)),
+    ("Ruby", ("Gemfile", ".ruby-version", "Rakefile"), (".rb",)),
+    ("Java", ("pom.xml", "build.gradle"), (".java",)),
+    ("Go", ("go.mod", "go.sum"), (".go",)),
+    ("Rust", ("Cargo.toml", "Cargo.lock"), (".rs",)),
+    (".NET", (".csproj", ".sln", "web.config"), ()),
+    ("Docker", ("Dockerfile", "docker-compose"), ()),
+    ("Terraform", ("terraform.tfvars",), (".tf",)),
+)
+
+
+def is_binary_name(path: Column) -> Column:
+    """Whether the part after the last dot (of a name without one the whole name) is a binary extension."""
+    return F.lower(F.substring_index(path, ".", -1)).isin(*BINARY_EXTENSIONS)
+
+
+def tech_of_path(path: Column, exact: bool = False) -> Column:
+    """Technologies by a path's parts; ``exact`` wants extensions at its end, as for a provider's paths."""
+    out = []
+    for name, parts, endings in LOCAL_TECH:
+        hit = F.lit(False)
+        for p in parts:
+            hit = hit | F.contains(path, F.lit(p))
+        for e in endings:
+            hit = hit | (F.endswith(path, F.lit(e)) if exact else F.contains(path, F.lit(e)))
+        out.append(F.when(hit, name))
+    return F.array_compact(F.array(*out))
+
+
 def safe_path(path: Column) -> Column:
     """The path without empty, dot and parent parts; null if it holds a NUL or nothing is left."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", ".", ".."))

@@ -9,6 +9,7 @@ import zipfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillsieve.patterns import LINE_PATTERNS
+from quillsieve.functions.text import is_placeholder, let, lowered
+from quillsieve.patterns import CONTEXT_KEYWORDS, LINE_PATTERNS
+from quillsieve.policy import ScanPolicy
 
 # First bytes of formats, limits on archives, names of ELF sections, ids of the patterns tried on strings.
 MAGIC = ((b"SQLite format 3\0", "sqlite"), (b"PK\x03\x04", "zip"), (b"\x1f\x8b", "gzip"), (b"\x7fELF", "elf"))
@@ -125,6 +128,7 @@ def gunzip(data: bytes, issues: Counter) -> bytes | None:
 def strings_within(path: str, data: bytes, limit: int, issues: Counter, depth: int = 0) -> Iterator[tuple[str, str]]:
     """(string, context) of everything printable in a binary and the archives in it."""
     if len(data) > limit:
+        issues["scan_size"] += 1
         return
     kind = kind_of(data)
     if kind == "zip":
@@ -165,10 +169,10 @@ def scan_binaries(files: DataFrame, custom: tuple[tuple[str, str, str, str], ...
                 issues: Counter = Counter()
                 hits = []
                 for s, context in strings_within(name or "", content or b"", limit, issues):
-                    hit = next(((i, m[0]) for i, rx in first if (m := rx.search(s))), None)
-                    hits += [hit] if hit else []
-                    hits += [(i, m[0]) for i, rx in more for m in rx.finditer(s)]
-                    hits[:] = [h if len(h) == 3 else (*h, context) for h in hits]
+                    hit = next(((i, m[0], context) for i, rx in first if (m := rx.search(s))), None)
+                    if hit:
+                        hits.append(hit)
+                    hits += [(i, m[0], context) for i, rx in more for m in rx.finditer(s)]
                 found.append([{"pattern_id": i, "match": m, "context": c} for i, m, c in hits])
                 left.append(list(issues.items()))
             yield pa.RecordBatch.from_arrays([pa.array(names, kind.field(0).type), pa.array(found, kind.field(1).type), pa.array(left, kind.field(2).type)], schema=kind)
@@ -176,6 +180,53 @@ def scan_binaries(files: DataFrame, custom: tuple[tuple[str, str, str, str], ...
     return files.select("filename", "content").mapInArrow(run, wanted)
 
 
+def high_entropy_region(data: bytes) -> bool:
+    """Whether a region looks compressed or encrypted: over 7.5 bits a byte in its first 4096 bytes, 16 at least."""
+    if len(data) < 16:
+        return False
+    part = data[:4096]
+    return -sum(n / len(part) * log2(n / len(part)) for n in Counter(part).values()) > 7.5
+
+
+def binary_confidence(context: Column, extra: tuple[str, ...] = ()) -> Column:
+    """Why a finding in a binary is less sure, from its context; comments say nothing there. Null if it is not."""
+    words = F.split(F.lit("\x01".join((*CONTEXT_KEYWORDS, *extra))), "\x01")
+
+    def weigh(low):
+        found = F.filter(words, lambda k: F.contains(low, F.lower(k)))
+        one = F.concat(F.lit("possible placeholder: '"), F.get(found, F.lit(0)), F.lit("' in binary string"))
+        return F.when(F.size(found) >= 2, "likely placeholder: 2+ keywords in binary string").when(F.size(found) == 1, one)
+
+    return let(F.lower(context), weigh)
+
+
+# What a finding of a pattern without words of its own is called, by the kind of the binary.
+FALLBACK = {"zip": "ZIP Secret", "elf": "ELF Secret", "gzip": "GZIP Secret"}
+
+
+def repository_findings(scanned: DataFrame, objects: DataFrame, policy: ScanPolicy = ScanPolicy(), custom: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
+    """Findings in binaries of a repository, given scans (filename, findings) and objects (filename, sha1, is_deleted, kind).
+
+    A pattern's words are those of the custom one of its id, else of the built-in one, else generic and
+    HIGH. Placeholders go unless the policy is exhaustive. The context lowers the severity except in
+    archives of entries and executables.
+    """
+    rows = scanned.join(objects, "filename").select("filename", "sha1", "is_deleted", "kind", F.explode("findings").alias("f")).select("filename", "sha1", "is_deleted", "kind", "f.*")
+    if not policy.exhaustive:
+        rows = rows.filter(~is_placeholder(F.col("match")))
+    known = {**{p[0]: (p[1], p[2]) for p in LINE_PATTERNS}, **{p[0]: (p[1], p[2]) for p in custom}}
+    words = rows.sparkSession.createDataFrame([(i, s, d) for i, (s, d) in known.items()], "pattern_id string, known_severity string, known_description string")
+    fallback = F.lit("Binary Secret")
+    for kind, said in FALLBACK.items():
+        fallback = F.when(F.col("kind") == kind, said).otherwise(fallback)
+    told = rows.join(F.broadcast(words), "pattern_id", "left").withColumn("reason", F.when(F.col("kind").isin("zip", "elf"), F.lit(None).cast("string")).otherwise(binary_confidence(F.col("context"), policy.keywords)))
+    severity = F.coalesce("known_severity", F.lit("HIGH"))
+    return told.select(
+        "filename", F.lit(1).alias("line"), "pattern_id", F.coalesce("known_description", fallback).alias("description"), F.when(F.col("reason").isNotNull(), lowered(severity)).otherwise(severity).alias("severity"),
+        "match", "context", "is_deleted", F.col("sha1").alias("commit_sha1"), F.col("reason").alias("confidence_adjustment"),
+    )
+
+
 def binary_findings(scanned: DataFrame, custom: tuple[tuple[str, str, str, str], ...] = ()) -> DataFrame:
     """Findings in the form of the text detectors: custom patterns keep their words, others are HIGH and generic."""
     rows = scanned.select("filename", F.explode("findings").alias("f"))

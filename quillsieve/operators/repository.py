@@ -97,8 +97,21 @@ def expand_trees(roots: DataFrame, entries: DataFrame, depth: int = 64) -> DataF
         out = blobs if out is None else out.union(blobs)
         level = rows.filter("kind = 'tree'").select("root", F.col("entry").alias("at"), F.concat("path", F.lit("/")).alias("prefix"))
         if level.isEmpty():
-            break
-    return out
+            return out
+    raise RuntimeError(f"a tree is deeper than {depth} levels")
+
+
+def commit_files(commits: DataFrame, entries: DataFrame, heads: DataFrame, limit: int = 0) -> DataFrame:
+    """(commit, depth, sha1, path) of the blobs of the commits reached from ``heads``: commits (sha1, tree, parents), entries of trees."""
+    walked = commit_walk(commits, heads, limit).join(commits.select("sha1", "tree"), "sha1")
+    blobs = expand_trees(walked.select(F.col("tree").alias("sha1")).distinct(), entries)
+    return walked.select(F.col("sha1").alias("commit"), "depth", "tree").join(blobs.withColumnRenamed("root", "tree"), "tree").select("commit", "depth", "sha1", "path")
+
+
+def commit_messages(commits: DataFrame) -> DataFrame:
+    """Messages of commits (sha1, message) in the form that text scans take; empty ones are left out."""
+    rows = commits.filter(F.coalesce("message", F.lit("")) != "")
+    return rows.select(F.concat(F.lit("[commit:"), F.left("sha1", F.lit(8)), F.lit(":message]")).alias("filename"), F.col("message").alias("text"), F.lit(False).alias("is_deleted"), F.col("sha1").alias("commit_sha1"))
 
 
 def history_views(entries: DataFrame) -> DataFrame:
@@ -129,6 +142,11 @@ def score_probes(probes: DataFrame, total: int = 130) -> DataFrame:
     return scored.select("url", "git_path", "confidence", label.alias("label"))
 
 
+def confident(scored: DataFrame, least: int = 45) -> DataFrame:
+    """The candidates that are sure enough to be scanned."""
+    return scored.filter(F.col("confidence") >= least)
+
+
 def best_probe(scored: DataFrame, least: int = 20) -> DataFrame:
     """The candidate of the highest confidence for each url, the first path on ties."""
     return first_of(scored.filter(F.col("confidence") >= least), ["url"], [F.desc("confidence"), "git_path"])
@@ -168,6 +186,22 @@ def evict(cache: DataFrame, limit: int, now: int, ttl: int, keep_share: float =
     return ranked.crossJoin(F.broadcast(total)).filter((F.col("total") <= limit) | (F.col("newer") <= int(limit * keep_share))).select(cache.columns)
 
 
+def put(cache: DataFrame, objects: DataFrame, now: int, source_url: str = "") -> DataFrame:
+    """A cache (sha1, content, size, created_at, source_url) with more objects (sha1, content); a new row replaces an old one."""
+    rows = objects.groupBy("sha1").agg(F.first("content").alias("content"))
+    fresh = rows.select("sha1", "content", F.octet_length("content").cast("long").alias("size"), F.lit(now).cast("long").alias("created_at"), F.lit(source_url).alias("source_url"))
+    return cache.join(fresh.select("sha1"), "sha1", "left_anti").select(fresh.columns).unionByName(fresh)
+
+
+def cleanup(cache: DataFrame, now: int, ttl: int) -> DataFrame:
+    """The rows that have not outlived ``ttl`` seconds; 0 keeps all."""
+    return cache.filter(F.col("created_at") > now - ttl) if ttl else cache
+
+
+def clear(cache: DataFrame) -> DataFrame:
+    return cache.limit(0)
+
+
 def cache_stats(cache: DataFrame, now: int, ttl: int) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"), F.count_if(F.col("created_at") <= now - ttl).alias("expired"))
 

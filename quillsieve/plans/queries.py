@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillsieve.functions import paths as P
 from quillsieve.functions import text as X
 from quillsieve.operators import lines as L
+from quillsieve.operators import outcomes as O
 from quillsieve.operators import repository as R
 from quillsieve.operators import rollup as U
 from quillsieve.operators.blocks import detect_blocks, detect_yaml
@@ -239,27 +240,27 @@ def technologies(spark, d):
     return part_paths(spark, d).select(F.explode(P.tech_of_name(F.col("path"))).alias("tech")).groupBy("tech").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(coalesce(i.l_orderkey, g.o_orderkey) AS VARCHAR) AS sha1, coalesce(i.path, g.path) AS path
-FROM (SELECT l_orderkey, arg_max('i/' || l_partkey, l_linenumber * 10000000 + l_partkey) AS path FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1) i FULL JOIN (SELECT o_orderkey, 'g/' || o_custkey AS path FROM orders WHERE o_orderkey % 2 = 0) g ON i.l_orderkey = g.o_orderkey""")
+@query("""SELECT CAST(coalesce(i.k, g.k) AS VARCHAR) AS sha1, coalesce(i.path, g.path) AS path
+FROM (SELECT l_partkey AS k, arg_max('i/' || l_orderkey, l_orderkey * 10 + l_linenumber) AS path FROM lineitem GROUP BY 1) i FULL JOIN (SELECT o_custkey AS k, arg_min('g/' || o_orderkey, o_orderkey) AS path FROM orders GROUP BY 1) g ON i.k = g.k""")
 def object_paths(spark, d):
-    index, graph = _index(spark, d), _graph(spark, d)
-    return R.object_paths(index, graph)
+    return R.object_paths(_index(spark, d), _graph(spark, d))
 
 
 def _index(spark, d) -> DataFrame:
-    """lineitem as an index: an order is an object, a line one of its paths."""
-    return table(spark, d, "lineitem").filter("l_orderkey % 3 <> 0").select(F.col("l_orderkey").cast("string").alias("sha1"), F.concat(F.lit("i/"), "l_partkey").alias("path"), (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("seq"))
+    """lineitem as an index: a part is an object, an order's line one of its paths."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("sha1"), F.concat(F.lit("i/"), "l_orderkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
 
 
 def _graph(spark, d) -> DataFrame:
-    return table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("sha1"), F.concat(F.lit("g/"), "o_custkey").alias("path"), F.lit(0).alias("seq"))
+    """orders as a graph: a customer is an object, an order one of its paths."""
+    return table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("sha1"), F.concat(F.lit("g/"), "o_orderkey").alias("path"), F.col("o_orderkey").alias("seq"))
 
 
 def _objects(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("sha1"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS sha1, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS origin FROM orders")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS sha1, CASE WHEN o_orderkey IN (SELECT l_partkey FROM lineitem) THEN 0 WHEN o_orderkey IN (SELECT o_custkey FROM orders) THEN 1 ELSE 2 END AS origin FROM orders")
 def verification_candidates(spark, d):
     return R.candidates(_objects(spark, d), _index(spark, d), _graph(spark, d))
 
@@ -270,10 +271,10 @@ def resume_pending(spark, d):
     return R.pending(_objects(spark, d), done)
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS sha1, CASE WHEN o_orderkey % 2 = 0 THEN 'g/' || o_custkey ELSE '[blob:' || left(CAST(o_orderkey AS VARCHAR), 8) || ']' END AS path, o_orderkey % 2 <> 0 AS is_deleted FROM orders")
+@query("SELECT CAST(o.o_orderkey AS VARCHAR) AS sha1, coalesce(g.path, '[blob:' || left(CAST(o.o_orderkey AS VARCHAR), 8) || ']') AS path, g.path IS NULL AS is_deleted FROM orders o LEFT JOIN (SELECT o_custkey, arg_min('g/' || o_orderkey, o_orderkey) AS path FROM orders GROUP BY 1) g ON o.o_orderkey = g.o_custkey")
 def named_objects(spark, d):
-    graph = _graph(spark, d)
-    return R.mark_deleted(R.named_objects(_objects(spark, d), graph.select("sha1", "path")), graph)
+    graph = _graph(spark, d).groupBy("sha1").agg(F.min_by("path", "seq").alias("path"))
+    return R.mark_deleted(R.named_objects(_objects(spark, d), graph), graph)
 
 
 @query("SELECT author_email, arg_min(author, seq) AS author FROM (SELECT role AS author_email, left(text, 12) || conv_id AS author, conv_id * 1000 + turn AS seq FROM conversations) GROUP BY author_email")
@@ -426,11 +427,13 @@ def block_findings(spark, d):
     return detect_blocks(as_files(rows, F.col("c_custkey").cast("string"))).select("filename", "line", "pattern_id", "match", "severity")
 
 
-@query("SELECT o_orderkey AS id FROM orders UNION SELECT c_custkey FROM customer")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS sha1 FROM orders UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer UNION SELECT CAST(l_partkey AS VARCHAR) FROM lineitem")
 def all_objects(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).union(table(spark, d, "customer").select("c_custkey")).distinct()
+    ids = lambda name, key: table(spark, d, name).select(F.col(key).cast("string").alias("sha1"))
+    return O.object_ids(ids("orders", "o_orderkey"), ids("customer", "c_custkey"), ids("lineitem", "l_partkey"))
 
 
-@query("SELECT o_orderkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer")
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sha1 FROM lineitem WHERE l_orderkey NOT IN (SELECT c_custkey FROM customer)")
 def commit_candidates(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).subtract(table(spark, d, "customer").select("c_custkey"))
+    ids = lambda name, key: table(spark, d, name).select(F.col(key).cast("string").alias("sha1"))
+    return O.without(ids("lineitem", "l_orderkey"), ids("customer", "c_custkey"))

@@ -152,11 +152,46 @@ def test_reports(spark, tmp_path):
         path = tmp_path / kind
         reports.write_report(df, str(path), kind)
         assert stat.S_IMODE(path.stat().st_mode) == 0o600
-    first = json.loads((tmp_path / "ndjson").read_text().splitlines()[0])
+    lines = (tmp_path / "ndjson").read_text().splitlines()
+    assert json.loads(lines[0])["_quillsieve"]["telemetry"]["findings_total"] == 3 and len(lines) == 4
+    first = json.loads(lines[1])
     assert first["severity"] == "CRITICAL" and first["deleted"] is True
-    assert json.loads((tmp_path / "json").read_text())["findings"][2]["ai_category"] == "provider_key"
+    whole = json.loads((tmp_path / "json").read_text())
+    assert whole["result"]["findings"][2]["ai_category"] == "provider_key" and whole["result"]["severity_counts"] == {"CRITICAL": 1, "HIGH": 0, "MEDIUM": 1, "LOW": 1}
     sarif = json.loads((tmp_path / "sarif").read_text())["runs"][0]
     assert [r["id"] for r in sarif["tool"]["driver"]["rules"]] == ["openai_key", "p"] and len(sarif["results"]) == 3
     assert "'=1|x" in (tmp_path / "csv").read_text() and "\\|" in (tmp_path / "markdown").read_text() and "f&lt;1&gt;.txt" in (tmp_path / "html").read_text()
-    total = reports.summary(df, "t").first()
-    assert total["severities"]["HIGH"] == 0 and total["risk_score"] == 25 and total["risk_label"] == "MEDIUM"
+    assert (tmp_path / "csv").read_text().splitlines()[0].startswith("file,line,severity") and json.loads((tmp_path / "csv.meta.json").read_text())["_quillsieve"]["telemetry"]["schema_version"] == 1
+    total = reports.result_summary(df).first()
+    assert total["severity_counts"]["HIGH"] == 0 and total["risk_score"] == 25 and total["risk_label"] == "MEDIUM" and total["ai_category_counts"] == {"provider_key": 1}
+    assert reports.terminal_lines(df)[-1] == "Risk 25/100 MEDIUM" and len(reports.terminal_lines(df.limit(0))) == 6
+
+
+def test_envelopes(spark, tmp_path):
+    from quillsieve.schemas import FINDING
+
+    df = spark.createDataFrame([("f", 3, "p", "d", "LOW", "m", "c", False, None, None)], FINDING)
+    scan = {"blobs_scanned": 7, "elapsed_s": 1.2345, "contributors": [(f"n{k}", f"e{k}") for k in range(60)]}
+    url = reports.exposure_envelope(df, "https://h", "now", {"git_url": "https://h/.git", "confidence": 90, "label": "HIGH"}, {"total_sha1s": 4}, scan)
+    assert url["detection"]["git_path"] == ".git" and url["map"]["total_sha1s"] == 4 and len(url["result"]["contributors"]) == 50 and url["result"]["elapsed_s"] == 1.23
+    reports.write_report(df, str(tmp_path / "r"), "json", "https://h", url)
+    assert json.loads((tmp_path / "r").read_text())["result"]["findings"][0]["match"] == "m"
+    token = reports.token_envelope(df, "me", 3, "now", "GitHub", ["a/*"], scan)
+    assert (token["mode"], token["scope"], "contributors" in token["result"]) == ("token", {"selectors": ["a/*"]}, False)
+    part = reports.partial_report("https://h", "now", {"label": "CONFIRMED", "confidence": 95}, {"blob_sha1s": 2, "branches": ["main"]})
+    assert part["detection"]["label"] == "PARTIAL" and part["detection"]["original_label"] == "CONFIRMED" and part["result"]["findings"] == []
+    outcomes = spark.createDataFrame([(2, "b", "DIR", "failed", None, 0, 0, "scan_failed", "x"), (1, "a", "URL", "completed", "p", 3, 40, None, None)], "seq int, target string, target_type string, status string, report_path string, findings_count int, risk_score int, error_code string, error string")
+    reports.write_aggregate(outcomes, str(tmp_path / "all"), 3, "now", {"peak_active": 2})
+    got = json.loads((tmp_path / "all").read_text())
+    assert [r["target"] for r in got["results"]] == ["a", "b"] and got["scanned_targets"] == 2 and got["target_fanout"] == {"peak_active": 2} and got["results"][0]["error"] is None
+    assert stat.S_IMODE((tmp_path / "all").stat().st_mode) == 0o600
+
+
+def test_saved_sources(spark, tmp_path):
+    a, b = "a" * 40, "b" * 40
+    objects = spark.createDataFrame([(a, bytearray(b"one")), (b, bytearray(b"two"))], "sha1 string, content binary")
+    paths = spark.createDataFrame([(a, ["../up", "x/y.txt", "z.txt"]), (b, ["/abs"])], "sha1 string, paths array<string>")
+    places = reports.saved_paths(objects, paths)
+    assert {(r["path"], r["link_of"]) for r in places.collect()} == {("x/y.txt", None), ("z.txt", "x/y.txt"), (f"_unreferenced/bb/{'b' * 38}", None)}
+    assert reports.save_sources(objects, places, str(tmp_path)) == (3, 0)
+    assert (tmp_path / "z.txt").read_bytes() == b"one" and (tmp_path / "_unreferenced" / "bb" / ("b" * 38)).read_bytes() == b"two"
