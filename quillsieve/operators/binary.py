@@ -21,11 +21,16 @@ from quillsieve.functions.text import is_placeholder, let, lowered
 from quillsieve.patterns import CONTEXT_KEYWORDS, LINE_PATTERNS
 from quillsieve.policy import ScanPolicy
 
-# First bytes of formats, limits on archives, names of ELF sections, ids of the patterns tried on strings.
+# First bytes of formats, limits on archives, names of ELF sections, the patterns tried on strings.
 MAGIC = ((b"SQLite format 3\0", "sqlite"), (b"PK\x03\x04", "zip"), (b"\x1f\x8b", "gzip"), (b"\x7fELF", "elf"))
 MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_RATIO, MAX_DEPTH = 500, 10 << 20, 100 << 20, 1000, 8
 ELF_SECTIONS = (".rodata", ".data", ".text", ".strtab", ".dynstr", ".comment")
-STRING_PATTERNS = ("aws_key_id", "gcp_api_key", "github_pat", "stripe_sk")
+STRING_PATTERNS = (
+    ("aws_key_id", r"\b(AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}\b"),
+    ("gcp_api_key", r"\bAIza[0-9A-Za-z\-_]{35}\b"),
+    ("github_pat", r"ghp_[A-Za-z0-9]{36}"),
+    ("stripe_sk", r"sk_(live|test)_[A-Za-z0-9]{24,}"),
+)
 UNSUPPORTED = (".tar", ".tgz", ".bz2", ".xz", ".7z", ".rar", ".zst")
 LABELS = {"sqlite": "SQLite", "zip": "ZIP", "elf": "ELF"}
 PRINTABLE = re.compile(rb"[\x20-\x7e]{4,}")
@@ -156,11 +161,10 @@ def scan_binaries(files: DataFrame, custom: tuple[tuple[str, str, str, str], ...
     findings are (pattern_id, match, context): of each string the first hit of the registered patterns and
     all hits of the custom ones; issues count what of archives was left out. Null content has neither.
     """
-    own = {p[0]: p[3] for p in LINE_PATTERNS}
     wanted = StructType.fromDDL("filename string, findings array<struct<pattern_id:string,match:string,context:string>>, issues map<string,int>")
 
     def run(batches):
-        first = [(i, re.compile(own[i])) for i in STRING_PATTERNS]
+        first = [(i, re.compile(r)) for i, r in STRING_PATTERNS]
         more = [(i, re.compile(r)) for i, _, _, r in custom]
         kind = to_arrow_schema(wanted)
         for batch in batches:

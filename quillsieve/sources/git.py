@@ -198,7 +198,9 @@ def pack_objects(pack: bytes, index: list[tuple[str, int]]) -> list[tuple[str, s
     waiting: dict[int, tuple[int | str, bytes]] = {}
     name = {offset: sha for sha, offset in index}
     place = {sha: offset for sha, offset in index}
-    for offset in sorted(name):
+    view = memoryview(pack)
+    places = sorted(name)
+    for offset, end in zip(places, [*places[1:], len(pack)]):
         try:
             at, byte = offset + 1, pack[offset]
             kind = byte >> 4 & 7
@@ -211,7 +213,8 @@ def pack_objects(pack: bytes, index: list[tuple[str, int]]) -> list[tuple[str, s
                 base = offset - back
             elif kind == 7:
                 base, at = pack[at : at + 20].hex(), at + 20
-            body = inflate(pack[at:])
+            # an object ends where the next one begins: nothing behind it is copied
+            body = inflate(view[at:end])
         except (IndexError, zlib.error, Malformed):
             continue
         if kind in KINDS:
