@@ -48,7 +48,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    split = now.count() >= SPLIT
+    size = now.count()
+    if not size:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    split = size >= SPLIT
     for _ in range(max_rounds):
         after = materialize(_star(_star(now, True, split), False, split), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

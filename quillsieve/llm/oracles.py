@@ -71,6 +71,75 @@ FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
 """
 
 
+# XXH64 in SQL: whole numbers of 128 bits, cut to 64 after each step.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_WORD, _SEED = 2**64 - 1, 42
+
+
+def _big(n: int) -> str:
+    return f"{n % 2**64}::UHUGEINT"
+
+
+def _mul(a: str, n: int) -> str:
+    return f"(({a}) * {_big(n)} & {_big(_WORD)})"
+
+
+def _rotl(a: str, r: int) -> str:
+    """Bits turned round to the left: 2^64 is 1 modulo 2^64 - 1."""
+    return f"((({a}) << {r}::UHUGEINT) % {_big(_WORD)})"
+
+
+def _add(a: str, b: str) -> str:
+    return f"((({a}) + {b}) & {_big(_WORD)})"
+
+
+def _little(x: str, n: int) -> str:
+    """The number of n bytes in hexadecimal, least first."""
+    return "('0x' || " + " || ".join(f"substr({x}, {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+
+
+def _round(lane: str) -> str:
+    return _mul(_rotl(_mul(lane, _P2), 31), _P1)
+
+
+def _xxh64(source: str) -> str:
+    """CTEs from ``source`` (s) to xd (s, h): XXH64 of the UTF-8 bytes of s, step by step."""
+    stripes = []
+    for i, init in enumerate((_SEED + _P1 + _P2, _SEED + _P2, _SEED, _SEED - _P1)):
+        lanes = f"list_transform(range({i}, n32 * 4, 4), lambda j: eight[j + 1])"
+        stripes.append(f"list_reduce(list_prepend({_big(init)}, {lanes}), lambda a, l: {_mul(_rotl(_add('a', _mul('l', _P2)), 31), _P1)}) AS v{i}")
+    merged = [f"x{4 + i} AS (SELECT * REPLACE (CASE WHEN n >= 32 THEN {_add(_mul(f'xor(h, {_round(f"v{i}")})', _P1), _big(_P4))} ELSE h END AS h) FROM x{3 + i})" for i in range(4)]
+    four = _mul(_little("substr(x, 16 * (n // 8) + 1, 8)", 4), _P1)
+    one = _mul("('0x' || substr(x, 2 * j + 1, 2))::UBIGINT::UHUGEINT", _P5)
+    whole = _add(_add(_add(_rotl("v0", 1), _rotl("v1", 7)), _rotl("v2", 12)), _rotl("v3", 18))
+    return f"""x0 AS (SELECT DISTINCT s, hex(encode(s)) AS x, strlen(s) AS n FROM {source}),
+x1 AS (SELECT s, x, n, n // 32 AS n32, list_transform(range(0, n // 8), lambda i: {_little("substr(x, 16 * i + 1, 16)", 8)}) AS eight FROM x0),
+x2 AS (SELECT *, {", ".join(stripes)} FROM x1),
+x3 AS (SELECT *, CASE WHEN n >= 32 THEN {whole} ELSE {_big(_SEED + _P5)} END AS h FROM x2),
+{", ".join(merged)},
+x8 AS (SELECT s, x, n, list_reduce(list_prepend({_add("h", "n::UHUGEINT")}, list_transform(range(n32 * 4, n // 8), lambda j: {_round("eight[j + 1]")})), lambda a, k: {_add(_mul(_rotl("xor(a, k)", 27), _P1), _big(_P4))}) AS h FROM x7),
+x9 AS (SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {_add(_mul(_rotl(f"xor(h, {four})", 23), _P2), _big(_P3))} ELSE h END AS h FROM x8),
+xa AS (SELECT s, list_reduce(list_prepend(h, list_transform(range(n // 4 * 4, n), lambda j: {one})), lambda a, k: {_mul(_rotl("xor(a, k)", 11), _P1)}) AS h FROM x9),
+xb AS (SELECT s, {_mul("xor(h, h >> 33::UHUGEINT)", _P2)} AS h FROM xa),
+xc AS (SELECT s, {_mul("xor(h, h >> 29::UHUGEINT)", _P3)} AS h FROM xb),
+xd AS (SELECT s, xor(h, h >> 32::UHUGEINT)::UBIGINT AS h FROM xc)"""
+
+
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
+{_xxh64("g")},
+b AS (SELECT g.doc_id, count(*) AS n, {", ".join(f"sum((h >> {k}) & 1)::BIGINT AS b{k}" for k in range(64))} FROM g JOIN xd USING (s) GROUP BY g.doc_id),
+f AS (SELECT d.doc_id, coalesce({" + ".join(f"CASE WHEN 2 * b{k} > n THEN {2**k}::HUGEINT ELSE 0 END" for k in range(64))}, 0)::UBIGINT AS p FROM d LEFT JOIN b USING (doc_id)),
+u AS (SELECT p, min(doc_id) AS least FROM f GROUP BY p),
+e AS (SELECT a.p AS x, c.p AS y FROM u a JOIN u c ON a.p <> c.p AND bit_count(xor(a.p, c.p)) <= 3),
+r AS (SELECT p AS x, p AS y FROM u UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT r.x, min(u.least) AS component_id FROM r JOIN u ON u.p = r.y GROUP BY r.x)
+SELECT f.doc_id, lower(lpad(hex(f.p), 16, '0')) AS fingerprint, c.component_id FROM f JOIN c ON c.x = f.p
+"""
+
+
 def _shard(count: int) -> str:
     """arg_max over the shards of -1 / ln(u), u from 52 bits of md5(doc_id|shard)."""
     return f"""(SELECT arg_max(s, -1.0 / ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0))
@@ -91,5 +160,6 @@ ORACLES: dict[str, str] = {
     "op2_secrets": OP2,
     "op3_embeddings": OP3,
     "op5_decontamination": OP5,
+    "op8_simhash": OP8,
     "op10_sharding": OP10,
 }

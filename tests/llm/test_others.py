@@ -325,3 +325,93 @@ def test_cosines_equal_brute_force(spark):
             assert str(i) not in got
         else:
             assert got[str(i)][0] == best[1] and got[str(i)][1] == pytest.approx(-best[0], abs=1e-8)
+
+
+def plain_grams(text):
+    """Buckets of a text's lower-cased 1- to 3-grams, one by one in whole numbers of 64 bits."""
+    points = [int(language_bayes.FOLD[ord(c)]) if ord(c) < len(language_bayes.FOLD) else ord(c) for c in text]
+    mix, word, out = int(language_bayes.MIX), (1 << 64) - 1, []
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h + points[i + k] + k + 1) * mix & word
+                h ^= h >> 31
+            out.append(h >> (64 - language_bayes.BITS))
+    return out
+
+
+def test_language_scores_equal_a_plain_version(spark):
+    import math
+    from collections import Counter
+
+    random.seed(3)
+    syllables = {"en": ["the", "ing", "and", "tion"], "de": ["der", "ung", "sch", "über"], "ja": ["日本", "こと", "です", "ます"]}
+    rows = [(i, " ".join(random.choice(s) for _ in range(random.randrange(1, 12))), lang) for i in range(60) for lang, s in [random.choice(list(syllables.items()))]]
+    rows += [(100, "12 34", "en"), (101, None, "de"), (102, "ÜBER Der", None), (103, "", "en"), (104, rows[0][1], rows[0][2]), (105, "x" * 300_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_bayes.identify(df, language_bayes.fit(df)).collect()}
+    counts, texts = {}, Counter()
+    letter = lambda t: any(c.isalpha() for c in t or "")
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter())
+            texts[lang] += 0
+            if letter(text):
+                texts[lang] += 1
+                counts[lang].update(plain_grams(text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    for i, text, _ in rows:
+        if not letter(text):
+            assert got[i] == ("und", 0.0)
+            continue
+        score = {}
+        for lang, c in counts.items():
+            score[lang] = math.log((texts[lang] + 1) / (sum(texts.values()) + len(texts))) + sum(n * math.log((c[b] + 0.5) / (total[lang] + 0.5 * language_bayes.BUCKETS)) for b, n in Counter(plain_grams(text)).items())
+        best = min(score, key=lambda x: (-score[x], x))
+        assert got[i][0] == best and got[i][1] == pytest.approx(1 / sum(math.exp(x - score[best]) for x in score.values()), rel=1e-6)
+
+
+def test_quality_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(5)
+    net = quality_cnn.Network(rng.normal(0, 0.3, (quality_cnn.WIDTH, 256, quality_cnn.FILTERS)).astype(np.float32), rng.normal(0, 0.3, quality_cnn.FILTERS).astype(np.float32), rng.normal(0, 0.3, 2 * quality_cnn.FILTERS), 0.1)
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 63).astype(np.uint8)), bytes(rng.integers(0, 256, 64).astype(np.uint8)), b"word " * 100, bytes(rng.integers(97, 123, 3000).astype(np.uint8)), b"a"]
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    w, cell = quality_cnn.WIDTH, quality_cnn.CELL
+    for text, score in zip(texts, got):
+        cells = -(-(len(text) + w - 1) // cell)
+        padded = b"\0" * (w - 1) + text + b"\0" * (cells * cell - len(text))
+        response = np.array([sum(net.embed[k][padded[i + k]].astype(np.float64) for k in range(w)) for i in range(cells * cell)])
+        top = response.reshape(cells, cell, -1).max(1)
+        chunks, at = [], 0
+        while True:
+            chunks.append(np.maximum(top[at : at + quality_cnn.CHUNK_CELLS].max(0) + net.bias, 0))
+            if at + quality_cnn.CHUNK_CELLS >= cells:
+                break
+            at += quality_cnn.HOP_CELLS
+        features = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)])
+        assert score == pytest.approx(1 / (1 + np.exp(-(features @ net.out + net.base))), abs=1e-5)
+
+
+def test_training_rows_stay_within_their_bytes(spark):
+    rows = [(i, "x" * (1000 + i)) for i in range(200)] + [(5, "x" * 1005), (300, None), (None, "y"), (301, "z" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(301, 1), (3, None), (7, 5)], "doc_id long, quality int")
+    got = quality_cnn.training_rows(df, labels, rows=150, size=50_000, longest=4000)
+    assert 40 < len(got) and sum(len(t) for t, _ in got) <= 50_000 and all(len(t) <= 4000 for t, _ in got)
+    assert got == quality_cnn.training_rows(df.repartition(3), labels, rows=150, size=50_000, longest=4000)
+    assert quality_cnn.training_rows(df.limit(0), labels) == [] and quality_cnn.training_rows(df, labels.limit(0)) == []
+    net = quality_cnn.train(df, labels.limit(0))
+    scored = quality_cnn.score_quality(df, net)
+    assert scored.count() == len(rows) and scored.select("score").distinct().count() == 1 and quality_cnn.score_quality(df.limit(0), net).count() == 0
+
+
+def test_slots_of_many_repeated_rows(spark):
+    df = spark.createDataFrame([(i % 3, "t") for i in range(600)] + [(None, None)] * 5, "doc_id long, text string")
+    import quillsieve.llm.rendezvous as rv
+
+    dealt = rv.slots(df.withColumn("shard", (rv.F.coalesce("doc_id", rv.F.lit(1)) % 2).cast("int")), "shard", [rv.F.col("doc_id")], per_bucket=40)
+    by = {}
+    for r in dealt.collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, by.values())) == 605 and all(sorted(s) == list(range(len(s))) for s in by.values())

@@ -67,3 +67,19 @@ def test_ids_decode_to_the_texts(stages):
     assert {(r["doc_id"], r["sample"]) for r in rows} == {(i, s) for i in texts for s in (0, 1)}
     assert all(sentencepiece_topk.decode_ids(pieces, r["ids"]) == texts[r["doc_id"]] for r in rows)
     assert len({(r["doc_id"], bytes(r["ids"])) for r in rows}) == len(rows)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in every column, empty and repeated rows, clashing column names and empty tables, stage by stage."""
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, None, "s", None), (3, "x " * 20_000, "en", None, 5), (3, "x " * 20_000, "en", None, 5), (None, "a b c d e f", None, None, 3)], whole.schema)
+    docs = odd.union(whole.limit(20)).selectExpr("*", "7 AS __key", "8 AS spans", "9 AS n_words", "'s' AS samples")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = out.count()
+        assert 0 < kept <= docs.count() and stage(spark, docs.limit(0), SF).count() == 0, name
+    groups = corpus_pipeline.near_duplicates(spark, odd, SF).collect()
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:3]) for r in groups) == [(-1, "a b"), (1, ""), (3, "x x")]
+    packed = corpus_pipeline.encoding(spark, docs, SF)
+    assert packed.filter("sample IS NULL").count() == 4 and corpus_pipeline.encoding(spark, docs.limit(0), SF).count() == 0
