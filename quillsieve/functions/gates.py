@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -142,27 +143,19 @@ class _Walk:
         return None if many or len(out) > 4 else out
 
 
-def sql_text(x: str) -> str:
-    """A string literal of Spark SQL."""
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+PATTERN = "struct<rank:int,id:string,severity:string,description:string,regex:string,exact:boolean,words:array<string>>"
 
 
-class Marks:
-    """The literals of some patterns, each looked for once in a text; the array of answers gates every pattern."""
+def pattern_table(patterns, java) -> Column:
+    """The patterns (id, severity, description, regex) with their gates, as one constant array."""
+    rows = []
+    for rank, (pid, severity, description, regex) in enumerate(patterns):
+        words, exact = required(regex)
+        rows.append({"rank": rank, "id": pid, "severity": severity, "description": description, "regex": java(regex), "exact": exact, "words": list(words)})
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{PATTERN}>")
 
-    def __init__(self, patterns, more: tuple[tuple[str, bool], ...] = ()):
-        self.words = sorted({(w, exact) for p in patterns for words, exact in [required(p)] for w in words} | set(more))
-        self.place = {w: k for k, w in enumerate(self.words)}
 
-    def array_sql(self, text: str, low: str) -> str:
-        return f"array({', '.join(f'contains({text if exact else low}, {sql_text(w)})' for w, exact in self.words)})" if self.words else "cast(array() AS array<boolean>)"
-
-    def gate_sql(self, pattern: str, marks: str) -> str:
-        """Whether the text of the array ``marks`` can hold a match of the pattern."""
-        words, exact = required(pattern)
-        return " OR ".join(f"{marks}[{self.place[w, exact]}]" for w in words) or "true"
-
-    def line_sql(self, pattern: str, marks: str, line: str, low: str) -> str:
-        """Whether a line of that text can: what the text lacks is not looked for in its lines."""
-        words, exact = required(pattern)
-        return " OR ".join(f"({marks}[{self.place[w, exact]}] AND contains({line if exact else low}, {sql_text(w)}))" for w in words) or "true"
+def may_match(pattern: Column, text: Column, low: Column) -> Column:
+    """Whether a text can hold a match of a row of ``pattern_table`` at all; ``low`` is the text as ``lowered``."""
+    within = F.when(pattern["exact"], text).otherwise(low)
+    return (F.size(pattern["words"]) == 0) | F.exists(pattern["words"], lambda w: F.contains(within, w))
