@@ -133,3 +133,52 @@ def sweep(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
     """Deletes the tables written since ``before`` was taken, but for ``keep``, whose rows no longer come from them."""
     for path in set(_written) - set(before) - {getattr(keep, "_written", None)}:
         _delete(spark, path)
+
+
+#: Bits of a membership filter: at most this many (32 MB), so that it can go everywhere; one chunk of it is one row.
+FILTER_BITS, CHUNK_BITS = 28, 19
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Members:
+    """A filter of whole numbers: it knows all that it was made of, and few others while they are few for its size.
+
+    With more numbers than bits it lets nearly all pass; what passes must be joined in any case.
+    """
+
+    def __init__(self, df: DataFrame, column: str):
+        """Tasks send each number to its chunk; the driver gets the chunks, which are bounded whatever the table."""
+        bits = 16
+        many = df.count()
+        while bits < FILTER_BITS and 1 << bits < 16 * many:
+            bits += 1
+        self.bits = bits
+        chunk = min(bits, CHUNK_BITS)
+
+        def place(batches):
+            for batch in batches:
+                at = _slots(batch.column(0).to_numpy(zero_copy_only=False), bits)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> chunk).astype(np.int32)), pa.array((at & (1 << chunk) - 1).astype(np.int32))], names=["chunk", "at"])
+
+        def fill(batches):
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                of, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for k in np.unique(of).tolist():
+                    held.setdefault(k, np.zeros(1 << chunk, bool))[at[of == k]] = True
+            for k, x in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["chunk", "bits"])
+
+        self.words = np.zeros(1 << (bits - 3), np.uint8)
+        size = 1 << (chunk - 3)
+        placed = df.select(column).filter(f"{column} IS NOT NULL").mapInArrow(place, "chunk int, at int").repartition("chunk")
+        for r in placed.mapInArrow(fill, "chunk int, bits binary").toLocalIterator():
+            self.words[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def maybe(self, values: np.ndarray) -> np.ndarray:
+        at = _slots(values, self.bits)
+        return (self.words[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values.astype(np.int64).view(np.uint64) * _ODD >> np.uint64(64 - bits)).astype(np.int64)

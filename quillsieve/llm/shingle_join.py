@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsieve.llm.common import blocks, discard, extend, field, materialize, text_bytes, with_columns
+from quillsieve.llm.common import Members, blocks, discard, extend, field, materialize, text_bytes, with_columns
 from quillsieve.llm.tiles import runs
 
 SHINGLE = 5
@@ -191,15 +191,22 @@ def shared_postings(found: DataFrame) -> DataFrame:
     return found.join(counts, "token")
 
 
-def sketched(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, sketch) of texts with their __key."""
+def of_rows(texts: DataFrame, rows: DataFrame, make: Callable[[np.ndarray], bytes], out: str, text_col: str = "text") -> DataFrame:
+    """(key, ``out``) made of the shingles of the texts whose __row is among ``rows`` (row), and of a few others.
+
+    The texts are not joined, for that would move them all: a filter of bounded size goes to them, and
+    what it lets pass beside the rows asked for falls out of the joins that use the result.
+    """
+    wanted = texts.sparkSession.sparkContext.broadcast(Members(rows, "row"))
 
     def run(batches):
         for batch in blocks(batches, text_col):
-            got = [parity(shingles(w)) for w in _words(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", "sketch"])
+            batch = batch.filter(pa.array(wanted.value.maybe(batch.column(batch.schema.get_field_index("__row")).to_numpy())))
+            if batch.num_rows:
+                got = [make(shingles(w)) for w in _words(batch, text_col)]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", out])
 
-    return texts.select("__key", text_col).mapInArrow(run, "key long, sketch binary")
+    return texts.select("__row", "__key", text_col).mapInArrow(run, f"key long, {out} binary")
 
 
 def _may_link(key, n, pos, sketches, a, b) -> tuple[np.ndarray, np.ndarray]:

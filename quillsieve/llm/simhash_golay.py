@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillsieve.llm import shingle_join
 from quillsieve.llm.common import blocks, discard, extend, field, let_go, materialize, text_bytes, with_columns
 from quillsieve.llm.components import connected_components
-from quillsieve.llm.tiles import deal, forest, runs
+from quillsieve.llm.tiles import FEW, deal, forest, runs
 
 SHINGLE, SEED, BITS_APART = 3, 42, 3
 #: (first bit, bits) of the three segments of a fingerprint, each padded to the code's 23 bits.
@@ -246,20 +246,14 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
     leaders = materialize(stored.groupBy("__key").agg(F.min(order).alias("first"), F.min("__print").alias("simhash")).select(F.col("__key").alias("key"), F.col("first.__row").alias("row"), "first", "simhash"), "leaders")
 
-    def grams(batches):
-        for batch in blocks(batches, text_col):
-            got = [join.shingles(w).tobytes() for w in join._words(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("__key")), pa.array(got, pa.binary())], names=["key", "grams"])
-
-    def texts_of(keys):
+    def rows_of(keys):
         """One row of each text that is asked for by its key."""
-        wanted = leaders.join(keys.distinct(), "key", "left_semi").select(F.col("row").alias("__row"))
-        return stored.select("__row", "__key", text_col).join(wanted, "__row", "left_semi")
+        return leaders.join(keys.distinct(), "key", "left_semi").select("row")
 
     def links(pairs):
         pairs = materialize(pairs, "pairs")
         nodes = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key")))
-        found = materialize(join.verified(pairs, texts_of(nodes).mapInArrow(grams, "key long, grams binary")), "links")
+        found = materialize(join.verified(pairs, join.of_rows(stored, rows_of(nodes), np.ndarray.tobytes, "grams", text_col)), "links")
         discard(pairs)
         return found
 
@@ -279,9 +273,14 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # what a few comparisons of each text link is not compared again; the rest is, in full
     open_ = join.unsettled(shared, connected_components(near))
     discard(shared)
-    sketches = join.sketched(texts_of(open_.select("key")), text_col)
+    sketches = join.of_rows(stored, rows_of(open_.select("key")), join.parity, "sketch", text_col).dropDuplicates(["key"])
     rest = links(join.candidates(open_.join(sketches, "key")))
     discard(open_)
     whole = connected_components(near.union(rest))
     grouped = leaders.join(whole, leaders["key"] == whole["node"], "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("first"))
-    return stored.join(grouped.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(df.columns)
+    keep = materialize(grouped.select(F.col("first.__row").alias("__row")), "keep")
+    gone = materialize(stored.select("__row").join(keep, "__row", "left_anti"), "gone")
+    if gone.count() <= FEW:
+        # few rows go, so they go to the rows and these stay where they are
+        return stored.join(F.broadcast(gone), "__row", "left_anti").select(df.columns)
+    return stored.join(keep, "__row", "left_semi").select(df.columns)
