@@ -149,7 +149,7 @@ def confident(scored: DataFrame, least: int = 45) -> DataFrame:
 
 def best_probe(scored: DataFrame, least: int = 20) -> DataFrame:
     """The candidate of the highest confidence for each url, the first path on ties."""
-    return first_of(scored.filter(F.col("confidence") >= least), ["url"], [F.desc("confidence"), "git_path"])
+    return first_of(scored.filter(F.col("confidence") >= least), ["url"], [-F.col("confidence"), "git_path"])
 
 
 def select_repositories(repositories: DataFrame, selectors: DataFrame) -> DataFrame:

@@ -34,8 +34,10 @@ def risk_label(score: Column) -> Column:
 
 
 def first_of(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    """The first row of each key: repeats meet in map-side minima, so no task gets all rows of a popular one."""
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    grouped = df.groupBy(*[k.alias(f"__k{n}") for n, k in enumerate(named)])
+    return grouped.agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__first")).select("__first.*")
 
 
 def unique_findings(findings: DataFrame) -> DataFrame:
