@@ -72,7 +72,7 @@ TEMPLATES = (
 GATE = r"(?i)licen[cs]e|copyright|spdx|public domain|redistribut|permission (?:is hereby|to use)|may be used to endorse|\bcc0?[ -](?:by|1\.0)"
 LICENSE_FILE = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
 #: What begins and ends the lines of comments.
-OPENING, CLOSING = r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|<!--|%+|\|)?[ \t]*", r"(?m)[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+OPENING, CLOSING = r"(?md)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|<!--|%+|\|)?[ \t]*", r"(?md)[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 #: Template words go to every executor; more than this many is an error.
 MAX_TEMPLATE_WORDS = 100_000

@@ -1,5 +1,8 @@
 """DuckDB SQL for the opN_ queries that SQL can express."""
 
+from quillsieve.llm.language_bayes import BITS, FOLD, MIX
+from quillsieve.llm.license_tfidf import CLOSING, GATE, LICENSE_FILE, OPENING, TEMPLATES, WORD
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5 = f"""
@@ -71,6 +74,43 @@ FROM embeddings LEFT JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x
 """
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _unix(regex: str) -> str:
+    """A regex whose line ends are newlines only, as they are in this dialect anyway."""
+    return _text(regex.replace("(?md)", "(?m)"))
+
+
+OP4 = f"""
+WITH f AS (SELECT doc_id, text, concat_ws('/', source, doc_id // 1000, CASE WHEN doc_id % 8 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path FROM documents),
+p AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, text, regexp_replace(regexp_replace(text, {_unix(OPENING)}, '', 'g'), {_unix(CLOSING)}, '', 'g') AS bare FROM f),
+l AS (SELECT doc_id, path, dir, unnest(list_distinct(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_text(GATE)})),
+      list_transform(list_filter(string_split_regex(bare, '\n\n+'), lambda x: regexp_matches(x, {_text(GATE)})), lambda x: trim(replace(x, chr(10), ' '))),
+      CASE WHEN regexp_matches(path, {_text(LICENSE_FILE)}) THEN [text] ELSE CAST([] AS VARCHAR[]) END))) AS notice FROM p WHERE regexp_matches(text, {_text(GATE)})),
+d AS (SELECT notice, count(*) AS n FROM l GROUP BY notice),
+t AS (SELECT 't' || i AS template, license, notice FROM (SELECT unnest(range({len(TEMPLATES)})) AS i, unnest([{", ".join(_text(n) for n, _ in TEMPLATES)}]) AS license, unnest([{", ".join(_text(x) for _, x in TEMPLATES)}]) AS notice)),
+c AS (SELECT notice, n, word, count(*) AS tf FROM (SELECT notice, n, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM d) GROUP BY ALL),
+g AS (SELECT template, license, word, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM t) GROUP BY ALL),
+s AS (SELECT word, sum(n) AS df FROM (SELECT word, n FROM c UNION ALL SELECT word, 1 FROM g) GROUP BY word),
+i AS (SELECT word, ln(((SELECT coalesce(sum(n), 0) FROM d) + {len(TEMPLATES)} + 1.0) / (df + 1.0)) + 1 AS idf FROM s),
+w AS (SELECT notice, word, tf * idf AS w FROM c JOIN i USING (word)),
+v AS (SELECT template, license, word, tf * idf AS tw FROM g JOIN i USING (word)),
+x AS (SELECT notice, license, round(dot / (norm * tnorm), 9) AS cosine FROM (SELECT notice, template, license, sum(w * tw) AS dot FROM w JOIN v USING (word) GROUP BY ALL)
+      JOIN (SELECT notice, sqrt(sum(w * w)) AS norm FROM w GROUP BY notice) USING (notice) JOIN (SELECT template, sqrt(sum(tw * tw)) AS tnorm FROM v GROUP BY template) USING (template)),
+b AS (SELECT notice, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM x GROUP BY notice HAVING max(cosine) >= 0.6),
+h AS (SELECT doc_id, path, dir, b.license, b.cosine FROM l JOIN b USING (notice)),
+own AS (SELECT doc_id, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM h GROUP BY doc_id),
+held AS (SELECT dir AS above, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM h WHERE regexp_matches(path, {_text(LICENSE_FILE)}) GROUP BY dir),
+tree AS (SELECT dir, k AS depth, array_to_string(string_split(dir, '/')[1:k], '/') AS above FROM (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM p))),
+near AS (SELECT dir, arg_max(above, depth) AS license_dir, arg_max(license, depth) AS license, arg_max(cosine, depth) AS cosine FROM tree JOIN held USING (above) GROUP BY dir)
+SELECT p.doc_id, p.path, coalesce(own.license, near.license) AS license, coalesce(own.cosine, near.cosine) AS cosine,
+  CASE WHEN own.license IS NOT NULL THEN 'notice' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN own.license IS NULL THEN near.license_dir END AS license_dir
+FROM p LEFT JOIN own USING (doc_id) LEFT JOIN near ON near.dir = p.dir
+"""
+
+
 # XXH64 in SQL: whole numbers of 128 bits, cut to 64 after each step.
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 _WORD, _SEED = 2**64 - 1, 42
@@ -146,8 +186,41 @@ def _shard(count: int) -> str:
       FROM range({count}) AS r(s))"""
 
 
+_CRC = """k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _mixed(x: str) -> str:
+    return _mul(x, int(MIX))
+
+
+OP6 = f"""
+WITH {_CRC},
+d AS (SELECT doc_id, lang, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda x, y: xor(x >> 8, CAST(t[xor(x & 255, y) + 1] AS BIGINT))), 4294967295) % 3 = 1 AS held_out, coalesce(regexp_matches(text, '\\p{{L}}'), false) AS letter, row_number() OVER () AS r FROM documents, k),
+c AS (SELECT r, unnest(range(len(cs))) AS i, unnest(cs) AS c FROM (SELECT r, regexp_extract_all(text, '(?s).') AS cs FROM d WHERE letter)),
+p AS (SELECT r, i, CASE WHEN unicode(c) < {len(FOLD)} AND length(lower(c)) = 1 THEN unicode(lower(c)) ELSE unicode(c) END AS p FROM c),
+o AS (SELECT r, p AS p1, lead(p, 1) OVER w AS p2, lead(p, 2) OVER w AS p3 FROM p WINDOW w AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT r, p1, NULL AS p2, NULL AS p3, count(*) AS n FROM o GROUP BY ALL UNION ALL SELECT r, p1, p2, NULL, count(*) FROM o WHERE p2 IS NOT NULL GROUP BY ALL UNION ALL SELECT r, p1, p2, p3, count(*) FROM o WHERE p3 IS NOT NULL GROUP BY ALL),
+a1 AS (SELECT p1, p2, p3, {_mixed("p1::UHUGEINT + 1::UHUGEINT")} AS y FROM (SELECT DISTINCT p1, p2, p3 FROM n)),
+a2 AS (SELECT p1, p2, p3, xor(y, y >> 31::UHUGEINT) AS h FROM a1),
+a3 AS (SELECT p1, p2, p3, h, {_mixed(_add("h", "p2::UHUGEINT + 2::UHUGEINT"))} AS y FROM a2),
+a4 AS (SELECT p1, p2, p3, coalesce(xor(y, y >> 31::UHUGEINT), h) AS h FROM a3),
+a5 AS (SELECT p1, p2, p3, h, {_mixed(_add("h", "p3::UHUGEINT + 3::UHUGEINT"))} AS y FROM a4),
+a6 AS (SELECT p1, p2, p3, CAST(coalesce(xor(y, y >> 31::UHUGEINT), h) >> {64 - BITS}::UHUGEINT AS BIGINT) AS bucket FROM a5),
+b AS (SELECT n.r, bucket, sum(n) AS n FROM n JOIN a6 ON n.p1 = a6.p1 AND n.p2 IS NOT DISTINCT FROM a6.p2 AND n.p3 IS NOT DISTINCT FROM a6.p3 GROUP BY ALL),
+train AS (SELECT r, lang, letter FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL),
+lp AS (SELECT lang, ln((count(*) FILTER (letter) + 1.0) / (sum(count(*) FILTER (letter)) OVER () + count(*) OVER ())) AS prior FROM train GROUP BY lang),
+lc AS (SELECT lang, bucket, sum(n) AS n FROM train JOIN b USING (r) GROUP BY ALL),
+lt AS (SELECT lang, prior, coalesce((SELECT sum(n) FROM lc WHERE lc.lang = lp.lang), 0) + 0.5 * {1 << BITS} AS total FROM lp),
+s AS (SELECT b.r, lt.lang, any_value(prior) + sum(b.n * ln((coalesce(lc.n, 0) + 0.5) / total)) AS score FROM b CROSS JOIN lt LEFT JOIN lc ON lc.lang = lt.lang AND lc.bucket = b.bucket GROUP BY ALL),
+m AS (SELECT r, arg_min(lang, (-score, lang)) AS lang, max(score) AS top FROM s GROUP BY r),
+q AS (SELECT m.r, any_value(m.lang) AS lang, 1 / sum(exp(s.score - m.top)) AS share FROM m JOIN s USING (r) GROUP BY m.r)
+SELECT d.doc_id, d.held_out, coalesce(q.lang, 'und') AS lang_pred, round(coalesce(q.share, 0.0), 6) AS score FROM d LEFT JOIN q USING (r)
+"""
+
+
 OP10 = f"""
-WITH k AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+WITH {_CRC},
 d AS (SELECT doc_id, text, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, {_shard(24)} AS a, {_shard(25)} AS b,
   list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
 c AS (SELECT d.*, CASE WHEN text IS NOT NULL THEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda x, y: xor(x >> 8, CAST(t[xor(x & 255, y) + 1] AS BIGINT))), 4294967295) END AS crc FROM d, k)
@@ -159,7 +232,9 @@ SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(a AS
 ORACLES: dict[str, str] = {
     "op2_secrets": OP2,
     "op3_embeddings": OP3,
+    "op4_licenses": OP4,
     "op5_decontamination": OP5,
+    "op6_language": OP6,
     "op8_simhash": OP8,
     "op10_sharding": OP10,
 }

@@ -47,7 +47,7 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents has no paths: a row lies at source/thousand/id, each eighth one as a file named LICENSE."""
+    """documents has no paths: a row lies at <its source>/<thousand>/<id>.txt, each eighth one as a file named LICENSE."""
     documents = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 8 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"), name)
@@ -62,7 +62,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language_bayes.fit(documents.filter(~language_bayes.held_out("doc_id")))
     found = language_bayes.identify(documents, model, keep=["doc_id"])
-    return found.select("doc_id", language_bayes.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", language_bayes.held_out("doc_id").alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
