@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.common import discard, materialize
+from quillsieve.llm.tiles import forest
+
+#: Up to so many edges (256 KB of them) one task contracts the graph as a whole.
+SMALL = 1 << 14
 
 
 #: From this many edges on, joins on a node of over HUB edges are dealt over several tasks.
@@ -39,11 +45,29 @@ def _star(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, component) of a few edges, in one task."""
+
+    def run(batches):
+        us, vs = [], []
+        for batch in batches:
+            us.append(batch.column(0).to_numpy())
+            vs.append(batch.column(1).to_numpy())
+        if us:
+            u, v = np.concatenate(us), np.concatenate(vs)
+            node, least = forest(u, v)
+            roots = np.setdiff1d(np.concatenate([u, v]), node)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots])), pa.array(np.concatenate([least, roots]))], names=["node", "component"])
+
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that occurs in ``edges`` (u, v); component is the least node reachable.
 
     Large-star and small-star steps alternate until the edge set stands still; each step is a
-    min-aggregation and an equi-join, and a hub's edges are dealt over several tasks. Self-loops and
+    min-aggregation and an equi-join, and a hub's edges are dealt over several tasks. A graph of up to
+    ``SMALL`` edges is contracted by one task instead. Self-loops and
     nulls are ignored: a node seen only in them is not returned. Empty edges give an empty table.
     """
     now = materialize(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -51,6 +75,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     size = now.count()
     if not size:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if size <= SMALL:
+        return _at_once(now)
     split = size >= SPLIT
     for _ in range(max_rounds):
         after = materialize(_star(_star(now, True, split), False, split), "edges")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsieve.llm.common import Members, blocks, discard, extend, field, materialize, text_bytes, with_columns
-from quillsieve.llm.tiles import runs
+from quillsieve.llm.tiles import FEW, runs
 
 SHINGLE = 5
 #: Least similarity as a fraction, so that no comparison rounds.
@@ -286,7 +286,7 @@ def candidates(open_: DataFrame) -> DataFrame:
             done = np.cumsum(after)
             lo = 0
             while lo < len(key):
-                hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (1 << 20), side="right")))
+                hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (1 << 18), side="right")))
                 a = np.repeat(np.arange(lo, hi), after[lo:hi])
                 b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
                 lo = hi
@@ -310,6 +310,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = placed.join(sizes, "label").select("label", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("i"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("j"), "u", "v")
     placed = materialize(placed, "placed")
     ends = placed.select("label", "i", "j", F.col("u").alias("key")).union(placed.select("label", "i", "j", F.col("v").alias("key"))).distinct()
+    ends = materialize(ends, "ends")
+    if ends.count() <= FEW:
+        # few places go to the texts' shingles, which then move once instead of twice
+        ends = F.broadcast(ends)
     texts = ends.join(sets, "key").select("label", "i", "j", F.lit(0).alias("side"), F.col("key").alias("u"), F.lit(None).cast("long").alias("v"), "grams")
     rows = texts.union(placed.select("label", "i", "j", F.lit(1).alias("side"), "u", "v", F.lit(None).cast("binary").alias("grams")))
     rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "side")

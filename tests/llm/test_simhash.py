@@ -96,7 +96,8 @@ def test_components_with_hubs_equal_brute_force(spark, monkeypatch):
     while (now := {**label, **{x: min(label[a], label[b]) for a, b in edges if a is not None and a != b for x in (a, b) if min(label[a], label[b]) < label[x]}}) != label:
         label = now
     df = spark.createDataFrame(edges, "u long, v long")
-    for split in (1 << 20, 1):
+    for split, small in ((1 << 20, 0), (1, 0), (1, 1 << 14)):
+        monkeypatch.setattr(parts, "SMALL", small)
         monkeypatch.setattr(parts, "SPLIT", split)
         monkeypatch.setattr(parts, "HUB", 7)
         assert {r["node"]: r["component"] for r in parts.connected_components(df).collect()} == label
