@@ -442,7 +442,7 @@ def _ids(pieces, lattice, draws, origin, start, counts, head, dtype) -> tuple[by
     return ids.astype(dtype).tobytes(), bound
 
 
-def sample_encodings(df: DataFrame, pieces: Pieces, k: int = 2, seed: int = 1, key_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "samples") -> DataFrame:
+def sample_encodings(df: DataFrame, pieces: Pieces, k: int = 2, seed: int = 1, key_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "samples", decodes: str | None = None) -> DataFrame:
     """Adds up to ``k`` distinct sampled segmentations of each whole text, best perturbed score first.
 
     Each has its ids (packed little-endian, see ``id_type``), n_pieces, logprob, the Gumbel-perturbed
@@ -451,7 +451,8 @@ def sample_encodings(df: DataFrame, pieces: Pieces, k: int = 2, seed: int = 1, k
     samples; a null key is the key ''. Null and empty texts have no segmentation. A text with fewer than k
     segmentations gives those it has. The text is taken as it is, a blank before it and blanks written as
     U+2581, so a U+2581 of the text decodes to a blank. A column named as ``out`` is replaced. An empty
-    table gives an empty one.
+    table gives an empty one. ``decodes`` names a further column: whether each sample's ids, decoded, are
+    the text (true where there is none).
     """
     keep = df.columns if keep is None else list(keep)
     source = df.select(list(dict.fromkeys([*keep, key_col, text_col])))
@@ -468,9 +469,31 @@ def sample_encodings(df: DataFrame, pieces: Pieces, k: int = 2, seed: int = 1, k
             count = np.concatenate([[0], np.cumsum([len(x) for x in found])])
             columns = [pa.array([x[c] for x in flat], kind.value_type.field(c).type) for c in range(len(names))]
             listed = pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.StructArray.from_arrays(columns, names=names))
-            yield with_columns(batch, keep, {out: listed})
-
-    return source.mapInArrow(run, extend(source, keep, [field(out, SAMPLES)]))
+            new = {out: listed}
+            if decodes:
+                whole, raw = decode_all(pieces, [x[0] for x in flat]), data.tobytes()
+                wanted = [raw[a:b].replace(b"\xe2\x96\x81", b" ") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                new[decodes] = pa.array([all(whole[i] == w for i in range(a, b)) for w, a, b in zip(wanted, count[:-1].tolist(), count[1:].tolist())])
+            yield with_columns(batch, keep, new)
+
+    return source.mapInArrow(run, extend(source, keep, [field(out, SAMPLES), *([field(decodes, "boolean")] if decodes else [])]))
+
+
+def decode_all(pieces: Pieces, packed: list[bytes]) -> list[bytes]:
+    """The UTF-8 bytes of many packed texts, all pieces gathered at once."""
+    if not hasattr(pieces, "_joined"):
+        size = np.array([len(x) for x in pieces.raw], np.int64)
+        pieces._joined = (np.frombuffer(b"".join(pieces.raw), np.uint8), np.cumsum(size) - size, size)
+    flat, start, size = pieces._joined
+    kind = id_type(pieces)
+    ids = np.frombuffer(b"".join(packed), kind)
+    long = size[ids]
+    end = np.cumsum(long)
+    total = int(end[-1]) if len(end) else 0
+    data = flat[np.repeat(start[ids] - end + long, long) + np.arange(total)].tobytes()
+    last = np.cumsum([len(x) // kind.itemsize for x in packed])
+    stop = np.where(last > 0, np.append(end, 0)[last - 1], 0).tolist() if len(packed) else []
+    return [data[a + (data[a : a + 1] == b" ") : b] for a, b in zip([0, *stop[:-1]], stop)]
 
 
 def decode_ids(pieces: Pieces, packed: bytes | None) -> str | None:

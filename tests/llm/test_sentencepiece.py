@@ -111,3 +111,16 @@ def test_dataframe_edges(spark):
     assert sp.sample_encodings(df.limit(0), pieces).count() == 0
     packed = spark.createDataFrame([(1, bytearray(by[1][0]["ids"])), (2, None), (3, bytearray())], "id int, ids binary")
     assert [r["text"] for r in sp.decode(packed, pieces).orderBy("id").collect()] == ["ab", None, ""]
+
+
+def test_samples_decode_to_their_texts(spark):
+    from quillsieve.llm.queries import PIECE_MODEL
+
+    pieces = sp.load_pieces(PIECE_MODEL)
+    texts = ["hello world", "", None, "  two  blanks ", "日本語 😀 x", "a\u2581b", "x" * 5000, "\n\ttabs", "hello world"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sp.sample_encodings(df, pieces, k=3, decodes="same").collect()
+    assert len(rows) == len(texts) and all(r["same"] for r in rows)
+    packed = [s["ids"] for r in rows for s in r["samples"] or []]
+    assert [x.decode() for x in sp.decode_all(pieces, packed)] == [sp.decode_ids(pieces, x) for x in packed]
+    assert sp.decode_all(pieces, []) == [] and sp.decode_all(pieces, [b"", packed[0], b""])[0] == b""
