@@ -480,20 +480,10 @@ def sample_encodings(df: DataFrame, pieces: Pieces, k: int = 2, seed: int = 1, k
 
 
 def decode_all(pieces: Pieces, packed: list[bytes]) -> list[bytes]:
-    """The UTF-8 bytes of many packed texts, all pieces gathered at once."""
-    if not hasattr(pieces, "_joined"):
-        size = np.array([len(x) for x in pieces.raw], np.int64)
-        pieces._joined = (np.frombuffer(b"".join(pieces.raw), np.uint8), np.cumsum(size) - size, size)
-    flat, start, size = pieces._joined
-    kind = id_type(pieces)
-    ids = np.frombuffer(b"".join(packed), kind)
-    long = size[ids]
-    end = np.cumsum(long)
-    total = int(end[-1]) if len(end) else 0
-    data = flat[np.repeat(start[ids] - end + long, long) + np.arange(total)].tobytes()
-    last = np.cumsum([len(x) // kind.itemsize for x in packed])
-    stop = np.where(last > 0, np.append(end, 0)[last - 1], 0).tolist() if len(packed) else []
-    return [data[a + (data[a : a + 1] == b" ") : b] for a, b in zip([0, *stop[:-1]], stop)]
+    """The UTF-8 bytes of many packed texts."""
+    kind, piece = id_type(pieces), pieces.raw.__getitem__
+    whole = [b"".join(map(piece, np.frombuffer(x, kind).tolist())) for x in packed]
+    return [x[1:] if x[:1] == b" " else x for x in whole]
 
 
 def decode_ids(pieces: Pieces, packed: bytes | None) -> str | None:
